@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import cutoff, neardup, proportions, tokens
+from dialoom.llm import cutoff, neardup, overlap, proportions, tokens
 from dialoom.session import table
 
 
@@ -28,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": _p4(lambda r, t: cutoff.kept(r, t).select("record_id")),
         "p4_cutoffs": _p4(cutoff.cutoffs),
         "p4_kept_sizes": _p4(cutoff.kept_sizes),
+        "p5_found": lambda s, d: overlap.found(table(s, d, "candidates")),
+        "p5_report": lambda s, d: overlap.report(table(s, d, "candidates")),
         "p6_ids": lambda s, d: tokens.token_ids(table(s, d, "documents")),
     }
 
@@ -56,8 +58,36 @@ kept as (select n.* from n join c using (src) where n.score >= c.cutoff)
 """
 
 
+def _shingle_sets(rows: str, text: str) -> str:
+    """SQL: the sets s(id, sh) of ``rows`` and their sizes n(id, n)."""
+    return f"""
+with tok as (select id, regexp_extract_all(lower({text}), '[a-z0-9]+|[\\x{{4e00}}-\\x{{9fff}}]') as t from ({rows})),
+s as (select distinct id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) as sh from tok),
+n as (select id, count(*) as n from s group by id),
+"""
+
+
+_P2 = _shingle_sets("select pair_id as id, coalesce(question, '') || chr(10) || coalesce(response_chosen, '') as x from preference_pairs", "x") + """
+c as (select a.id as a, b.id as b, count(*) as c from s a join s b on a.sh = b.sh and a.id < b.id group by all)
+select a as pair_id_a, b as pair_id_b from c join n x on x.id = a join n y on y.id = b where c >= 0.6 * (x.n + y.n - c)
+"""
+
+_P5 = _shingle_sets("select cand_id as id, question as x from candidates where source_split is not null", "x") + f"""
+sp as (select cand_id as id, {_KEY.format("source_split")} as split, source_dataset, case when regexp_full_match(lower(source_hash), '[0-9a-f]{{40}}') then lower(source_hash) end as h
+       from candidates where source_split is not null),
+c as (select a.id as e, b.id as t, count(*) as c from s a join sp x on x.id = a.id and x.split <> 'train' join s b on a.sh = b.sh join sp y on y.id = b.id and y.split = 'train' group by all),
+sim as (select e, t, c = x.n and c = y.n as same from c join n x on x.id = e join n y on y.id = t where c >= 0.6 * (x.n + y.n - c)),
+hs as (select a.id as e, b.id as t from sp a join sp b on a.h = b.h and a.split <> 'train' and b.split = 'train')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2,
+        "p5_found": _P5 + "select distinct least(e, t) as cand_id_a, greatest(e, t) as cand_id_b from (select e, t from sim union all select e, t from hs)",
+        "p5_report": _P5 + """select split, source_dataset, count(*) as n_rows, count(*) filter (id in (select e from hs)) as n_same_hash,
+count(*) filter (id in (select e from sim where same)) as n_same_text, count(*) filter (id in (select e from sim)) as n_similar_text,
+count(*) filter (id in (select e from sim) or id in (select e from hs)) as n_overlapping from sp where split <> 'train' group by all""",
         "p1_found": _P1_REPORT + "select slice_tag, source_dataset from cells where available < required",
         "p1_report": _P1_REPORT + "select *, least(required, available) as quota, greatest(0, required - available) as missing from cells",
         "p4_found": _P4 + "select record_id from kept",
