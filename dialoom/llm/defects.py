@@ -44,6 +44,8 @@ ENGLISH = frozenset("the and of to in is that for with it on a an be you or if a
 TERMINAL = "。．.!！?？"
 CONNECT = "，、：；,:;-—–－~～（(［[「『“‘《<&/+=*#"
 _CLOSERS = "\"'”’」』》】）)]］"
+#: Closing words that are often left without a final mark.
+CLOSINGS = re.compile(r"^(?:take care|all the best|best wishes|kind regards|wishing you .*|祝您?.*|愿您?.*|多保重.*|希望能帮到.*|有变化随时.*|谢谢.*|以上供参考)$", re.I | re.S)
 MARKS = re.compile(r"\s*(?:^|\n)\s*(?:[-*•·]|[（(]?\d{1,3}\s*[.、)）．:：])\s*$")
 SHORT_TOKENS = 60
 OPENING_TOKENS = 12
@@ -54,6 +56,7 @@ COPY_SHARE = 0.6
 
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 _CJK = re.compile("[㐀-鿿豈-﫿]")
+_BREAK = re.compile(r"[。！？!?\n]|\.(?=\s|[一-鿿])")
 _TOKEN_END = re.compile(r"([a-z]+|[0-9]+(?:\.[0-9]+)?|[一-鿿])|([^a-z0-9一-鿿]+)")
 
 
@@ -94,15 +97,16 @@ def ending(text: str) -> tuple[str, str]:
         return "done", ""
     if bare_closed[-1:] and bare_closed[-1] in CONNECT:
         return "broken", ""
+    if CLOSINGS.match(_BREAK.split(bare_closed)[-1].strip()):
+        return "done", ""
     return "open", bare_closed
 
 
-def _masked(text: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in shingles.tokens(text)]
-
-
-def _context(tokens: list[str]) -> int | None:
-    return int(np.uint64(shingles.xxhash.xxh64_intdigest(" ".join(tokens[-CONTEXT:]))).view(np.int64)) if tokens else None
+def _context(text: str) -> int | None:
+    """The last tokens of the unfinished sentence, numbers masked, ``^`` where it begins; None without any."""
+    last = _BREAK.split(text)[-1].lower()
+    tokens = ["^"] + ["0" if m[0].isdigit() else m for m, _ in _TOKEN_END.findall(last) if m]
+    return int(np.uint64(shingles.xxhash.xxh64_intdigest(" ".join(tokens[-CONTEXT:]))).view(np.int64)) if len(tokens) > 1 else None
 
 
 _SEEN = "pair_id bigint, field string, defect string, declined boolean, short boolean, opening string, question bigint, tail bigint"
@@ -146,7 +150,7 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             if how == "broken":
                                 defect = "truncated"
                             elif how == "open":
-                                tail = _context(_masked(upto[-200:]))
+                                tail = _context(upto)
                                 if tail is None:
                                     defect = "truncated"
                     opening = " ".join("0" if t[0].isdigit() else t for t in tokens[:OPENING_TOKENS]) if short else None
@@ -163,16 +167,18 @@ def _count_contexts(bits: int, shared) -> object:
         known: dict[str, int] = {}
         for batch in batches:
             for text in (t for column in (0, 1) for t in batch.column(column).to_pylist() if t):
-                held: list[str] = []
+                held = ["^"]
                 flush = None
                 for m in _TOKEN_END.finditer(text.lower()):
                     token, gap = m.group(1), m.group(2)
+                    ends = gap is not None and (any(c in "。！？!?\n…" for c in gap) or ". " in gap)
                     if flush is not None:
-                        ends = gap is not None and (any(c in "。！？!?\n…" for c in gap) or gap.startswith(". "))
                         found.setdefault(flush, [0, 0])
                         found[flush][0] += 1
                         found[flush][1] += ends
                         flush = None
+                    if ends:
+                        held = ["^"]
                     if token is not None:
                         held.append("0" if token[0].isdigit() else token)
                         if len(held) > CONTEXT:
@@ -240,7 +246,7 @@ def found(pairs: DataFrame) -> DataFrame:
     own = asked.groupBy("tail").agg(F.count(F.lit(1)).alias("own"))
     # a context counts as an end where it ends a sentence elsewhere, the undecided answers left out
     ends = contexts.join(own, "tail").withColumn("share", (F.col("ends") - F.col("own")) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))
-    closing = ends.where((F.col("share") >= ENDS_SHARE) | ((F.col("own") == F.col("n")) & (F.col("own") >= 8))).select("tail", F.lit(True).alias("closes"))
+    closing = ends.where(F.col("share") >= ENDS_SHARE).select("tail", F.lit(True).alias("closes"))
     templates = refusal_openings(seen).distinct().withColumn("template", F.lit(True))
     out = seen.join(closing, "tail", "left").join(templates, "opening", "left")
     kind = (

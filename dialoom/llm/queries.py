@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import cutoff, neardup, overlap, proportions, tokens
+from dialoom.llm import cutoff, defects, neardup, overlap, proportions, tokens
 from dialoom.session import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_sample": _p1(proportions.sample),
         "p2_found": lambda s, d: neardup.found(table(s, d, "preference_pairs")),
         "p2_groups": lambda s, d: neardup.groups(table(s, d, "preference_pairs")),
+        "p3_found": lambda s, d: defects.found(table(s, d, "preference_pairs")),
         "p4_found": _p4(lambda r, t: cutoff.kept(r, t).select("record_id")),
         "p4_cutoffs": _p4(cutoff.cutoffs),
         "p4_kept_sizes": _p4(cutoff.kept_sizes),
