@@ -1,6 +1,6 @@
 """Problem 2: near-duplicate texts with small edits, insertions and moved parts.
 
-Every text becomes a set of token shingles and a fingerprint of one bit per
+Every text becomes a set of token shingles and a fingerprint of two bits per
 minimum hash, so that dissimilar texts are far apart in Hamming distance. The
 fingerprints are partitioned into shards by short runs of their minimum hashes;
 each is put into all ``BANDS`` shards at whose boundary it may have neighbours
@@ -36,7 +36,7 @@ def pair_text() -> Column:
 
 
 def sketches(texts: DataFrame, *, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id, set_id, hi, lo, bands`` of every text (``id``, ``text``) with at least one shingle; ``hi, lo`` is the fingerprint."""
+    """``id, set_id, f0, f1, f2, bands`` of every text (``id``, ``text``) with at least one shingle; ``f0..f2`` is the fingerprint."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = shingles.TokenHashes()
@@ -46,15 +46,15 @@ def sketches(texts: DataFrame, *, width: int = 3, bands: int = BANDS, rows: int
                 has = sizes > 0
                 sizes = sizes[has]
                 low = shingles.minhashes(h, sizes, bands * rows)
-                hi, lo = shingles.one_bit(low)
+                words = shingles.fingerprint(low).view(np.int64)
                 key = np.zeros((len(sizes), bands), np.uint64)
                 for r in range(rows):
                     key = shingles.mix(key ^ low[:, r::rows] + np.arange(1, bands + 1, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
                 ids = part.column(0).filter(pa.array(has))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.set_identity(h, sizes).view(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists], names=["id", "set_id", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.set_identity(h, sizes).view(np.int64)), *[pa.array(words[:, i]) for i in range(3)], lists], names=["id", "set_id", "f0", "f1", "f2", "bands"])
 
-    return texts.select("id", "text").mapInArrow(sketch, "id bigint, set_id bigint, hi bigint, lo bigint, bands array<bigint>")
+    return texts.select("id", "text").mapInArrow(sketch, "id bigint, set_id bigint, f0 bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _search(r: int):
@@ -88,7 +88,7 @@ def _search(r: int):
         rest: list[np.ndarray] = []
         for batch in _with_end(batches):
             if batch is not None:
-                rest.append(np.stack([batch.column(i).to_numpy() for i in range(4)], 1))
+                rest.append(np.stack([batch.column(i).to_numpy() for i in range(5)], 1))
                 if sum(map(len, rest)) < 100_000:
                     continue
             if not rest:
@@ -111,8 +111,8 @@ def _with_end(batches):
 
 def candidates(sketched: DataFrame, *, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``a, b``: distinct pairs of sets (a < b) that share a shard and lie within the Hamming radius."""
-    points = sketched.select(F.explode("bands").alias("shard"), "set_id", "hi", "lo").distinct()  # copies end here, before the shuffle
-    r = shingles.radius(min(128, bands * rows), similarity)
+    points = sketched.select(F.explode("bands").alias("shard"), "set_id", "f0", "f1", "f2").distinct()  # copies end here, before the shuffle
+    r = shingles.radius(bands * rows, similarity)
     return points.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(r), "a bigint, b bigint").distinct()
 
 
@@ -131,7 +131,7 @@ def _filter(values: DataFrame, column: str) -> tuple:
 
 
 def shingle_sets(texts: DataFrame, wanted: tuple, *, width: int = 3) -> DataFrame:
-    """``set_id, shingles`` of the texts whose set may be wanted, one row per distinct set."""
+    """``set_id, shingles`` (32-bit hashes) of the texts whose set may be wanted, one row per distinct set."""
     bits, table = wanted
     shared = texts.sparkSession.sparkContext.broadcast(table)  # at most FILTER_BITS / 8 bytes
 
@@ -145,10 +145,10 @@ def shingle_sets(texts: DataFrame, wanted: tuple, *, width: int = 3) -> DataFram
                 keep = (sizes > 0) & ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
                 h = h[np.repeat(keep, sizes)]
                 ends = np.concatenate(([0], np.cumsum(sizes[keep])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), lists], names=["set_id", "shingles"])
 
-    found = texts.select("text").mapInArrow(pick, "set_id bigint, shingles array<bigint>")
+    found = texts.select("text").mapInArrow(pick, "set_id bigint, shingles array<int>")
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 

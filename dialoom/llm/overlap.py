@@ -28,7 +28,8 @@ from dialoom.session import durable
 SEGMENT = 12
 #: Segment lengths in use; a short text takes the longest that still gives it one segment more than edits.
 LENGTHS = (3, 4, 6, 8, SEGMENT)
-FINGERPRINT = 128
+#: Minimum hashes of a fingerprint, two bits each.
+FINGERPRINT = 96
 
 
 def segment_length(n: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ def _segments(train: bool, wanted=None):
             found = [f for f, x in zip(found, has) if x]
             n = np.array([len(f) for f in found])
             ids = shingles.set_identity(h, sizes)[has]
-            hi, lo = shingles.one_bit(shingles.minhashes(h, sizes[has], FINGERPRINT))
+            words = shingles.fingerprint(shingles.minhashes(h, sizes[has], FINGERPRINT))
             hashes = hasher(found)
             own = segment_length(n)
             keys, docs = [], []
@@ -72,12 +73,12 @@ def _segments(train: bool, wanted=None):
                 keys.append(k[use])
                 docs.append(doc[use])
             k, doc = np.concatenate(keys), np.concatenate(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, ids[doc], hi[doc], lo[doc])], names=["segment", "set_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, ids[doc], *(words[doc, i] for i in range(3)))], names=["segment", "set_id", "f0", "f1", "f2"])
 
     return segments
 
 
-_SEGMENTS = "segment bigint, set_id bigint, hi bigint, lo bigint"
+_SEGMENTS = "segment bigint, set_id bigint, f0 bigint, f1 bigint, f2 bigint"
 
 
 def _set_ids(rows: DataFrame) -> DataFrame:
@@ -105,8 +106,8 @@ def similar_sets(evaluation: DataFrame, train: DataFrame, *, similarity: float =
     bits, table = _filter(cut, "segment")
     marks = train.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
     offered = train.select("text").mapInArrow(_segments(True, (bits, marks)), _SEGMENTS).distinct()
-    far = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_t"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_t")))
-    t = offered.select("segment", F.col("set_id").alias("t"), F.col("hi").alias("hi_t"), F.col("lo").alias("lo_t"))
+    far = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)), F.lit(0))
+    t = offered.select("segment", F.col("set_id").alias("t"), *(F.col(f"f{i}").alias(f"t{i}") for i in range(3)))
     near = cut.withColumnRenamed("set_id", "e").join(t, "segment").where(far <= shingles.radius(FINGERPRINT, similarity)).select("e", "t").distinct()
     near = durable(near)
     equal = near.where("e = t")

@@ -66,15 +66,11 @@ def windows(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def sets(found: list[list[str]], hasher: TokenHashes, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of the texts, in order within each, and how many each text has."""
+    """The distinct shingle hashes of at most 2,048 texts, in order within each, and how many each text has."""
     sizes = np.array([len(x) for x in found], np.int64)
     h, doc, _ = windows(hasher(found), sizes, width)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    if len(h):
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-        h, doc = h[first], doc[first]
-    return h, np.bincount(doc, minlength=len(found)) if len(found) else np.zeros(0, np.int64)
+    key = np.unique((doc.astype(np.uint64) << np.uint64(53)) | (h >> np.uint64(11)))
+    return mix(key & np.uint64((1 << 53) - 1)), np.bincount((key >> np.uint64(53)).astype(np.int64), minlength=len(found))
 
 
 def set_identity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,21 +94,15 @@ def minhashes(h: np.ndarray, sizes: np.ndarray, count: int, seed: int = 1) -> np
     return out
 
 
-def one_bit(minimums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint: one bit of each minimum, in two 64-bit words. A bit differs with probability (1 - Jaccard) / 2."""
-    bits = (mix(minimums + _ODD[2]) >> np.uint64(63)).astype(np.uint8)
-    packed = np.zeros((len(bits), 16), np.uint8)
-    some = np.packbits(bits[:, :128], axis=1)
-    packed[:, : some.shape[1]] = some
-    words = packed.view(np.uint64)
-    return words[:, 0].copy(), words[:, 1].copy()
+def fingerprint(minimums: np.ndarray, bits: int = 2) -> np.ndarray:
+    """``bits`` bits of each minimum hash, as 64-bit words (one row a set): each bit differs with probability (1 - Jaccard) / 2."""
+    z = mix(minimums + _ODD[2])
+    taken = np.concatenate([((z >> np.uint64(63 - b)) & np.uint64(1)).astype(np.uint8) for b in range(bits)], axis=1)
+    return np.packbits(np.pad(taken, ((0, 0), (0, -taken.shape[1] % 64))), axis=1).view(np.uint64)
 
 
-def hamming(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1])
-
-
-def radius(bits: int, similarity: float, deviations: float = 4.5) -> int:
-    """The Hamming distance that pairs of at least this similarity exceed with a probability of about one in 10^5."""
-    p = (1 - similarity) / 2
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+def radius(count: int, similarity: float, bits: int = 2, deviations: float = 4.0) -> int:
+    """The Hamming distance of fingerprints of ``count`` minimum hashes that pairs of this similarity exceed about three times in 10^5."""
+    d = 1 - similarity
+    variance = d * (bits / 4 + bits * bits / 4) - (d * bits / 2) ** 2
+    return int(count * d * bits / 2 + deviations * (count * variance) ** 0.5)
