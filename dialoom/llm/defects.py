@@ -85,7 +85,7 @@ def declines(text: str, tokens: int) -> bool:
 
 def ending(text: str) -> tuple[str, str]:
     """How a text ends: ("done" | "broken" | "open", the text up to where its last tokens are to be judged)."""
-    t = re.sub(r"[\s​﻿]+$", "", text)
+    t = re.sub("[\\s​﻿]+$", "", text)
     if MARKS.search(t):
         return "broken", ""
     bare = re.sub(r"(?:[^\w\s。．.!！?？，、：；,:;…\-—–()（）\"'”’「」『』《》【】\[\]<>/&+=*#~～])+$", "", t).rstrip()  # emoji and the like
