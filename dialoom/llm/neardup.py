@@ -111,7 +111,8 @@ def _with_end(batches):
 
 def candidates(sketched: DataFrame, *, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``a, b``: distinct pairs of sets (a < b) that share a shard and lie within the Hamming radius."""
-    points = sketched.select(F.explode("bands").alias("shard"), "set_id", "f0", "f1", "f2").distinct()  # copies end here, before the shuffle
+    once = sketched.select("set_id", "f0", "f1", "f2", "bands").dropDuplicates(["set_id"])  # copies end here, before the rows are multiplied
+    points = once.select(F.explode("bands").alias("shard"), "set_id", "f0", "f1", "f2")
     r = shingles.radius(bands * rows, similarity)
     return points.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(r), "a bigint, b bigint").distinct()
 

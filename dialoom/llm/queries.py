@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import cutoff, defects, neardup, overlap, proportions, quality, tokens
+from dialoom.llm import cutoff, defects, mixture, neardup, overlap, proportions, quality, tokens
 from dialoom.session import table
 
 
@@ -32,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: overlap.found(table(s, d, "candidates")),
         "p5_report": lambda s, d: overlap.report(table(s, d, "candidates")),
         "p6_ids": lambda s, d: tokens.token_ids(table(s, d, "documents")),
+        "p7_mixture": lambda s, d: mixture.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p7_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_found": lambda s, d: quality.found(table(s, d, "documents")),
         "p8_statistics": lambda s, d: quality.judged(table(s, d, "documents")),
     }
