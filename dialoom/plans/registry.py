@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoom.plans import curation
+
+_PARTS = (curation,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.oracle_sql().items()}
