@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BLANK = r"\s\p{Z}\x0b\x1c-\x1f\x85"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+$", "")
@@ -50,17 +55,22 @@ def punctuation(c: Column) -> Column:
 
 def top_char_share(c: Column) -> Column:
     """Share of the most frequent character that is not blank; 1 for a text without any."""
-    dense = F.regexp_replace(c, rf"[{BLANK}]+", "")
-    n = F.length(dense)
-    most = F.array_max(F.transform(F.array_distinct(F.split(dense, "")), lambda x: F.when(x != "", n - F.length(F.replace(dense, x, F.lit(""))))))
-    return F.when(n == 0, F.lit(1.0)).otherwise(most / n)
+
+    def share(dense: Column) -> Column:
+        most = F.array_max(F.transform(F.array_distinct(F.split(dense, "")), lambda x: F.when(x != "", F.length(dense) - F.length(F.replace(dense, x, F.lit(""))))))
+        return F.when(dense == "", F.lit(1.0)).otherwise(most / F.length(dense))
+
+    return let(F.regexp_replace(c, rf"[{BLANK}]+", ""), share)
 
 
 def top_line_share(c: Column) -> Column:
     """Share of the most frequent line among the lines that are not blank; 0 with at most one of them."""
-    lines = F.filter(F.transform(F.split(c, "\r\n|[\r\n]"), strip), lambda x: x != "")
-    most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))
-    return F.when(F.size(lines) <= 1, F.lit(0.0)).otherwise(most / F.size(lines))
+
+    def share(lines: Column) -> Column:
+        most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))
+        return F.when(F.size(lines) <= 1, F.lit(0.0)).otherwise(most / F.size(lines))
+
+    return let(F.filter(F.transform(F.split(c, "\r\n|[\r\n]"), strip), lambda x: x != ""), share)
 
 
 def paragraphs(c: Column) -> Column:
@@ -78,21 +88,25 @@ def sentences(c: Column) -> Column:
 
 def repeated_sentences(c: Column) -> Column:
     """Share of sentences that only repeat an earlier one; 0 below two sentences."""
-    s = sentences(c)
-    return F.when(F.size(s) < 2, F.lit(0.0)).otherwise((F.size(s) - F.size(F.array_distinct(s))) / F.size(s))
+    return let(sentences(c), lambda s: F.when(F.size(s) < 2, F.lit(0.0)).otherwise((F.size(s) - F.size(F.array_distinct(s))) / F.size(s)))
 
 
 def bigrams(c: Column) -> Column:
     """Character pairs of the letters-only text with repetition; single characters of a shorter one."""
-    t = letters_only(c)
-    n = F.length(t)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2))))
+    return let(
+        letters_only(c),
+        lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))),
+    )
+
+
+def numbered(bag: Column) -> Column:
+    """A bag as a set: each repetition of an element gets its own number."""
+    return let(F.array_sort(bag), lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(s, x)).cast("string"))))
 
 
 def bag_overlap_f1(a: Column, b: Column) -> Column:
     """F1 of two bags of strings: multiset intersection against both sizes; 0 where one is empty."""
-    common = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(b)))
+    return let(numbered(a), lambda x: let(numbered(b), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))))
 
 
 def slug(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation
+from dialoom.plans import curation, preference
 
-_PARTS = (curation,)
+_PARTS = (curation, preference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
