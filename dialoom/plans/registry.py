@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation, evaluation, preference
+from dialoom.plans import analysis, curation, evaluation, preference
 
-_PARTS = (curation, preference, evaluation)
+_PARTS = (curation, preference, evaluation, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
