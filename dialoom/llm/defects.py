@@ -49,15 +49,13 @@ CLOSINGS = re.compile(r"^(?:take care|all the best|best wishes|kind regards|wish
 MARKS = re.compile(r"\s*(?:^|\n)\s*(?:[-*•·]|[（(]?\d{1,3}\s*[.、)）．:：])\s*$")
 SHORT_TOKENS = 60
 OPENING_TOKENS = 12
-CONTEXT = 3
 #: Share of a context's occurrences elsewhere that end a sentence, from which a text that stops there is finished.
 ENDS_SHARE = 0.25
 COPY_SHARE = 0.6
 
-_WORD = re.compile(r"[^\W\d_]+", re.U)
-_CJK = re.compile("[㐀-鿿豈-﫿]")
 _BREAK = re.compile(r"[。！？!?\n]|\.(?=\s|[一-鿿])")
-_TOKEN_END = re.compile(r"([a-z]+|[0-9]+(?:\.[0-9]+)?|[一-鿿])|([^a-z0-9一-鿿]+)")
+_TOKEN_END = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?|[一-鿿]|[。！？!?\n…]|\.(?=\s|$)")
+_END = re.compile(r"[。！？!?\n….]")
 
 
 def is_empty(text: str | None) -> bool:
@@ -67,10 +65,10 @@ def is_empty(text: str | None) -> bool:
     return not rest or rest in PLACEHOLDERS
 
 
-def language(text: str) -> str | None:
+def language(tokens: list[str]) -> str | None:
     """zh, en, es or None where it cannot be told."""
-    han = len(_CJK.findall(text))
-    words = [w.lower() for w in re.findall(r"[A-Za-zÀ-ÿ]+", text)]
+    han = sum(1 for t in tokens if t >= "一")
+    words = [t for t in tokens if t < "一" and not t[0].isdigit()]
     if han + len(words) < 3:
         return None
     if han >= len(words):
@@ -102,11 +100,24 @@ def ending(text: str) -> tuple[str, str]:
     return "open", bare_closed
 
 
+_MARK = np.uint64(shingles.xxhash.xxh64_intdigest("^"))
+
+
+def _context_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return shingles.mix(shingles.mix(shingles.mix(a) + b) + c)
+
+
 def _context(text: str) -> int | None:
-    """The last tokens of the unfinished sentence, numbers masked, ``^`` where it begins; None without any."""
-    last = _BREAK.split(text)[-1].lower()
-    tokens = ["^"] + ["0" if m[0].isdigit() else m for m, _ in _TOKEN_END.findall(last) if m]
-    return int(np.uint64(shingles.xxhash.xxh64_intdigest(" ".join(tokens[-CONTEXT:]))).view(np.int64)) if len(tokens) > 1 else None
+    """The last three tokens of the unfinished sentence, numbers masked, a mark where it begins; None without any."""
+    found = _TOKEN_END.findall(_BREAK.split(text)[-1].lower())
+    if not found:
+        return None
+    h = [np.uint64(shingles.xxhash.xxh64_intdigest("0" if m[0].isdigit() else m)) for m in found[-3:] if not _END.match(m)]
+    if not h:
+        return None
+    h = [_MARK] * (3 - len(h)) + h
+    with np.errstate(over="ignore"):
+        return int(_context_hash(*(np.array([x]) for x in h))[0].view(np.int64))
 
 
 _SEEN = "pair_id bigint, field string, defect string, declined boolean, short boolean, opening string, question bigint, tail bigint"
@@ -142,7 +153,7 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     elif q and asked[i] and ((na[i] and nq[i] and shared[i] >= COPY_SHARE) or (tokens == asked[i])):
                         defect = "copy"
                     else:
-                        own, theirs = language(a), language(q) if q else None
+                        own, theirs = language(tokens), language(asked[i])
                         if own and theirs and own != theirs and not any(own == code and p.search(q) for code, p in ASKS):
                             defect = "language"
                         else:
@@ -163,50 +174,33 @@ def _count_contexts(bits: int, shared) -> object:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
-        found: dict[int, list[int]] = {}
         known: dict[str, int] = {}
+        number = shingles.xxhash.xxh64_intdigest
+        end = np.uint64(1)  # no token hashes to it in practice
         for batch in batches:
+            stream: list[int] = []
             for text in (t for column in (0, 1) for t in batch.column(column).to_pylist() if t):
-                held = ["^"]
-                flush = None
-                for m in _TOKEN_END.finditer(text.lower()):
-                    token, gap = m.group(1), m.group(2)
-                    ends = gap is not None and (any(c in "。！？!?\n…" for c in gap) or ". " in gap)
-                    if flush is not None:
-                        found.setdefault(flush, [0, 0])
-                        found[flush][0] += 1
-                        found[flush][1] += ends
-                        flush = None
-                    if ends:
-                        held = ["^"]
-                    if token is not None:
-                        held.append("0" if token[0].isdigit() else token)
-                        if len(held) > CONTEXT:
-                            del held[0]
-                        key = " ".join(held)
-                        h = known.get(key)
-                        if h is None:
-                            h = shingles.xxhash.xxh64_intdigest(key)
-                            if len(known) > 500_000:
-                                known.clear()
-                            known[key] = h
-                        place = h & (bits - 1)
-                        if int(marks[place >> 6]) >> (place & 63) & 1:
-                            flush = h
-                if flush is not None:  # the text stops here
-                    found.setdefault(flush, [0, 0])
-                    found[flush][0] += 1
-                    found[flush][1] += 1
-            if len(found) > 200_000:
-                yield from _emit(found)
-                found = {}
-        yield from _emit(found)
-
-    def _emit(found: dict) -> Iterator[pa.RecordBatch]:
-        if found:
-            keys = np.array(list(found), np.uint64).view(np.int64)
-            counts = np.array(list(found.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["tail", "n", "ends"])
+                for token in _TOKEN_END.findall(text.lower()):
+                    h = known.get(token)
+                    if h is None:
+                        h = 1 if _END.match(token) else number("0" if token[0].isdigit() else token)
+                        if len(known) < 500_000:
+                            known[token] = h
+                    stream.append(h)
+                stream.append(1)
+            h = np.array([1, 1, *stream, 1], np.uint64)
+            stop = h == end
+            now = np.flatnonzero(~stop)
+            if not len(now):
+                continue
+            b = np.where(stop[now - 1], _MARK, h[now - 1])
+            a = np.where(stop[now - 1] | stop[now - 2], _MARK, h[now - 2])
+            context = _context_hash(a, b, h[now])
+            place = context & np.uint64(bits - 1)
+            use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+            keys, back, n = np.unique(context[use], return_inverse=True, return_counts=True)
+            ends = np.bincount(back, weights=stop[now[use] + 1], minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(ends)], names=["tail", "n", "ends"])
 
     return count
 
@@ -220,8 +214,8 @@ def refusal_openings(seen: DataFrame, *, similarity: float = 0.6, least_question
     kinds = seen.where("opening is not null").groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.count_if("declined").alias("n_declined"), F.approx_count_distinct("question").alias("questions"))
     kinds = durable(kinds.withColumn("id", F.xxhash64("opening")))
     texts = kinds.select("id", F.col("opening").alias("text"))
-    sketched = durable(neardup.sketches(texts, width=2))
-    edges = neardup.similar_sets(texts, sketched, similarity=similarity, width=2)
+    sketched = durable(neardup.sketches(texts, width=2, bands=12, rows=2))
+    edges = neardup.similar_sets(texts, sketched, similarity=similarity, width=2, bands=12, rows=2)
     parts = connected_components(edges).withColumnRenamed("node", "set_id")
     clusters = sketched.select("id", "set_id").join(parts, "set_id", "left").select("id", F.coalesce("component", "set_id").alias("cluster"))
     members = kinds.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))

@@ -153,9 +153,9 @@ def shingle_sets(texts: DataFrame, wanted: tuple, *, width: int = 3) -> DataFram
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
-def similar_sets(texts: DataFrame, sketched: DataFrame, *, similarity: float, width: int = 3) -> DataFrame:
+def similar_sets(texts: DataFrame, sketched: DataFrame, *, similarity: float, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``a, b, similarity``: the pairs of distinct sets that reach ``similarity``, compared exactly."""
-    pairs = durable(candidates(sketched, similarity=similarity))
+    pairs = durable(candidates(sketched, similarity=similarity, bands=bands, rows=rows))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
     known = shingle_sets(texts, _filter(ends, "s"), width=width)
     both = pairs.join(known.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a").join(known.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")

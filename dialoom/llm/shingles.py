@@ -95,10 +95,11 @@ def minhashes(h: np.ndarray, sizes: np.ndarray, count: int, seed: int = 1) -> np
 
 
 def fingerprint(minimums: np.ndarray, bits: int = 2) -> np.ndarray:
-    """``bits`` bits of each minimum hash, as 64-bit words (one row a set): each bit differs with probability (1 - Jaccard) / 2."""
+    """``bits`` bits of each minimum hash, as at least three 64-bit words (one row a set): each bit differs with probability (1 - Jaccard) / 2."""
     z = mix(minimums + _ODD[2])
     taken = np.concatenate([((z >> np.uint64(63 - b)) & np.uint64(1)).astype(np.uint8) for b in range(bits)], axis=1)
-    return np.packbits(np.pad(taken, ((0, 0), (0, -taken.shape[1] % 64))), axis=1).view(np.uint64)
+    width = max(192, taken.shape[1] + -taken.shape[1] % 64)
+    return np.packbits(np.pad(taken, ((0, 0), (0, width - taken.shape[1]))), axis=1).view(np.uint64)
 
 
 def radius(count: int, similarity: float, bits: int = 2, deviations: float = 4.0) -> int:
