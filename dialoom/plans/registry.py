@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import analysis, curation, evaluation, preference
+from dialoom.plans import analysis, curation, evaluation, preference, runs
 
-_PARTS = (curation, preference, evaluation, analysis)
+_PARTS = (curation, preference, evaluation, analysis, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
