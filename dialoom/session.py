@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+#: Folders made here for applications whose session names none.
+_OWN: dict[str, str] = {}
+
+
+def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", settings: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benches on one machine."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=settings or {}).master(f"local[{cores}]")
         .appName("dialoom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -32,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else one of our own (local runs)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="dialoom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="dialoom-")
+        _OWN[app] = found
     return found
 
 
