@@ -37,7 +37,7 @@ DECLINES = re.compile(
     re.I,
 )
 #: A decline followed by help is none.
-HELPS = re.compile(r"(?:不过|但是?|然而)[^。]{0,6}(?:可以|能|先)|\bbut (?:i can|here|we can|it|a|an|the|in)\b", re.I)
+HELPS = re.compile(r"(?:不过|但是?|然而)[^。]{0,6}(?:可以|能|先)|\bbut (?:i can(?!no|'|’)|here|we can|it|a|an|the|in)\b", re.I)
 ASKS = (("en", re.compile(r"用英[文语]|in english", re.I)), ("zh", re.compile(r"用中文|用汉语|in chinese", re.I)), ("es", re.compile(r"西班牙[文语]|in spanish|en español", re.I)))
 SPANISH = frozenset("el la los las de del que y en un una por con para se su al es no si como más".split())
 ENGLISH = frozenset("the and of to in is that for with it on a an be you or if at not are".split())
@@ -83,7 +83,9 @@ def declines(text: str, tokens: int) -> bool:
 
 def ending(text: str) -> tuple[str, str]:
     """How a text ends: ("done" | "broken" | "open", the text up to where its last tokens are to be judged)."""
-    t = re.sub("[\\s​﻿]+$", "", text)
+    t = text.rstrip().rstrip("\u200b\ufeff \n\r\t\u3000\xa0")
+    if len(t) > 400:  # how a text ends shows in its last sentence; the letter keeps the cut from looking like a start
+        t = "x" + t[-400:]
     if MARKS.search(t):
         return "broken", ""
     bare = re.sub(r"(?:[^\w\s。．.!！?？，、：；,:;…\-—–()（）\"'”’「」『』《》【】\[\]<>/&+=*#~～])+$", "", t).rstrip()  # emoji and the like
@@ -129,19 +131,20 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
             ids, questions = part.column(0).to_pylist(), part.column(1).to_pylist()
             asked = [shingles.tokens(q) for q in questions]
-            hq, nq = shingles.sets(asked, hasher)
             salt = shingles.mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(7))
-            keys_q = hq ^ np.repeat(salt, nq)
-            identity = shingles.set_identity(hq, nq).view(np.int64)
+            hq, doc, _ = shingles.windows(hasher(asked), np.array([len(x) for x in asked], np.int64), 3)
+            keys_q = hq ^ salt[doc]
+            nq = np.bincount(doc, minlength=len(ids))
+            identity = [int(np.uint64(shingles.xxhash.xxh64_intdigest(q or "")).view(np.int64)) for q in questions]
             rows: list[tuple] = []
             for column, field in ((2, "response_chosen"), (3, "response_rejected")):
                 answers = part.column(column).to_pylist()
                 given = [shingles.tokens(a) for a in answers]
-                ha, na = shingles.sets(given, hasher)
-                hit = np.isin(ha ^ np.repeat(salt, na), keys_q)
-                shared = np.bincount(np.repeat(np.arange(len(ids)), na), weights=hit, minlength=len(ids)) / np.maximum(na, 1)
+                ha, doc, _ = shingles.windows(hasher(given), np.array([len(x) for x in given], np.int64), 3)
+                na = np.bincount(doc, minlength=len(ids))
+                shared = np.bincount(doc, weights=np.isin(ha ^ salt[doc], keys_q), minlength=len(ids)) / np.maximum(na, 1)
                 for i, (q, a) in enumerate(zip(questions, answers)):
-                    if is_empty(a):
+                    if a is None or len(given[i]) <= 4 and is_empty(a):
                         rows.append((ids[i], field, "empty", False, True, None, None, None))
                         continue
                     tokens = given[i]
@@ -165,7 +168,7 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 if tail is None:
                                     defect = "truncated"
                     opening = " ".join("0" if t[0].isdigit() else t for t in tokens[:OPENING_TOKENS]) if short else None
-                    rows.append((ids[i], field, defect, declined, short, opening, int(identity[i]), tail))
+                    rows.append((ids[i], field, defect, declined, short, opening, identity[i], tail))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64()))], names=["pair_id", "field", "defect", "declined", "short", "opening", "question", "tail"])
 
 
