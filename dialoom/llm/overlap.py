@@ -1,9 +1,9 @@
 """Problem 5: the same or nearly the same records in training and other splits.
 
-Segment join: each evaluation question of n tokens is cut into segments of at
-most ``SEGMENT`` tokens. Similarity 0.6 leaves room for about n / 12 separate
+Segment join: each evaluation question of n shingles is cut into more than n / 12
+segments. Similarity 0.6 leaves room for about n / 12 separate
 edits, fewer than there are segments, so one segment stays whole; training
-questions offer every substring of the segments' lengths, at every position,
+questions offer every substring of the lengths that similar texts are cut into, at every position,
 because similarity does not mind moved parts. A filter over the evaluation
 segments drops the training substrings that match none before anything is
 shuffled. Matches whose fingerprints are too far apart end in the join itself;
@@ -25,17 +25,29 @@ from dialoom.llm import shingles
 from dialoom.llm.neardup import _filter, shingle_sets
 from dialoom.session import durable
 
+#: A text of n shingles is cut into at least n // SEGMENT + 1 segments.
 SEGMENT = 12
-#: Segment lengths in use; a short text takes the longest that still gives it one segment more than edits.
-LENGTHS = (3, 4, 6, 8, SEGMENT)
+LENGTHS = tuple(range(3, SEGMENT))
+#: Sets that a task remembers in order not to offer a copy again.
+REMEMBERED = 200_000
 #: Minimum hashes of a fingerprint, two bits each.
 FINGERPRINT = 96
 
 
 def segment_length(n: np.ndarray) -> np.ndarray:
-    """The segment length of texts of n tokens."""
-    room = n // (n // SEGMENT + 1)
-    return np.array(LENGTHS)[np.maximum(np.searchsorted(LENGTHS, room, side="right") - 1, 0)]
+    """The segment length of texts with n distinct shingles: the longest that gives one segment more than edits."""
+    return np.clip(n // (n // SEGMENT + 1), LENGTHS[0], LENGTHS[-1])
+
+
+def offered_lengths(n: np.ndarray, similarity: float) -> dict[int, np.ndarray]:
+    """For each segment length, which texts with n distinct shingles can be similar to one that is cut so."""
+    low, high = np.ceil(similarity * n - 1e-9).astype(np.int64), np.floor(n / similarity + 1e-9).astype(np.int64)
+    own = segment_length(np.arange(int(high.max(initial=0)) + 1))
+    out = {}
+    for length in LENGTHS:
+        upto = np.concatenate(([0], np.cumsum(own == length)))
+        out[length] = upto[high + 1] > upto[low]
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch], column: int):
@@ -47,26 +59,37 @@ def _rows(batches: Iterator[pa.RecordBatch], column: int):
             yield part, found, hasher, h, sizes
 
 
-def _segments(train: bool, wanted=None):
+def _segments(train: bool, similarity: float, wanted=None):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, marks = (wanted[0], wanted[1].value) if wanted else (0, None)
+        seen: set[int] = set()
         for _, found, hasher, h, sizes in _rows(batches, 0):
-            has = sizes > 0
-            if not has.any():
+            ids = shingles.set_identity(h, sizes)
+            fresh = np.zeros(len(found), bool)
+            for i in np.flatnonzero(sizes):
+                if (one := int(ids[i])) not in seen:
+                    fresh[i] = True
+                    seen.add(one)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            if not fresh.any():
                 continue
-            found = [f for f, x in zip(found, has) if x]
+            found = [f for f, x in zip(found, fresh) if x]
             n = np.array([len(f) for f in found])
-            ids = shingles.set_identity(h, sizes)[has]
-            words = shingles.fingerprint(shingles.minhashes(h, sizes[has], FINGERPRINT))
+            h, sizes, ids = h[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
+            words = shingles.fingerprint(shingles.minhashes(h, sizes, FINGERPRINT))
             hashes = hasher(found)
-            own = segment_length(n)
+            own = segment_length(sizes)
+            offers = offered_lengths(sizes, similarity) if train else {}
             keys, docs = [], []
             for length in LENGTHS:
+                if not (offers[length] if train else own == length).any():
+                    continue
                 k, doc, at = shingles.windows(hashes, n, length)
                 k = shingles.mix(k + np.uint64(length))
                 if train:
                     place = k & np.uint64(bits - 1)
-                    use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    use = offers[length][doc] & ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
                 else:
                     # cut points every `length` tokens, and one segment that ends with the text
                     use = (own[doc] == length) & ((at % length == 0) | (at == n[doc] - length))
@@ -102,10 +125,11 @@ def prepared(candidates: DataFrame) -> DataFrame:
 
 def similar_sets(evaluation: DataFrame, train: DataFrame, *, similarity: float = 0.6) -> DataFrame:
     """``e, t``: distinct sets of the evaluation and the training texts that reach ``similarity``, equal sets included."""
-    cut = durable(evaluation.select("text").mapInArrow(_segments(False), _SEGMENTS).distinct())
+    # copies mostly end in the task that reads them; one shuffle by segment serves what is left of them and the join
+    cut = durable(evaluation.select("text").mapInArrow(_segments(False, similarity), _SEGMENTS).repartition("segment").distinct())
     bits, table = _filter(cut, "segment")
     marks = train.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
-    offered = train.select("text").mapInArrow(_segments(True, (bits, marks)), _SEGMENTS).distinct()
+    offered = train.select("text").mapInArrow(_segments(True, similarity, (bits, marks)), _SEGMENTS).repartition("segment").distinct()
     far = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)), F.lit(0))
     t = offered.select("segment", F.col("set_id").alias("t"), *(F.col(f"f{i}").alias(f"t{i}") for i in range(3)))
     near = cut.withColumnRenamed("set_id", "e").join(t, "segment").where(far <= shingles.radius(FINGERPRINT, similarity)).select("e", "t").distinct()

@@ -123,7 +123,11 @@ def test_overlaps_of_nothing(spark):
 def test_segments_leave_one_whole():
     for n in range(3, 400):
         length = int(overlap.segment_length(np.array([n]))[0])
-        assert length <= n and -(-n // length) >= n // overlap.SEGMENT + 1
+        assert length <= max(n, 3) and -(-n // length) >= n // overlap.SEGMENT + 1
+    offers = overlap.offered_lengths(np.arange(1, 300), 0.6)
+    for t in range(1, 300):
+        for s in range(-(-6 * t // 10), 10 * t // 6 + 1):
+            assert offers[int(overlap.segment_length(np.array([s]))[0])][t - 1]
 
 
 @pytest.fixture(scope="module")
