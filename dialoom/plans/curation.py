@@ -13,6 +13,11 @@ from dialoom.plans import sqltext as S
 from dialoom.session import table
 
 
+def _mean(c: str):
+    """A mean that does not depend on the order of the sum: the sum is rounded, the quotient is not."""
+    return F.round(F.sum(c), 9) / F.count(c)
+
+
 def _rows(s, d) -> DataFrame:
     """Leniently normalised conversations with their source and place."""
     r = table(s, d, "scored_records")
@@ -59,7 +64,7 @@ bucketed as (select *, case when score >= 0.72 then 'high_confidence_keep' when
 
 
 def _funnel(s, d):
-    return _scored(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return _scored(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), _mean("score").alias("mean_score"))
 
 
 def _filter_report(s, d):
@@ -67,7 +72,7 @@ def _filter_report(s, d):
     r = _reasoned(s, d)
     out = r.rollup("source").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.size("reasons") == 0).alias("kept"), F.count_if(F.size("reasons") > 0).alias("rejected"),
-        F.count_if(F.array_contains("reasons", "duplicate_conversation")).alias("duplicates"), F.round(F.avg((F.size("reasons") == 0).cast("double")), 6).alias("keep_ratio"),
+        F.count_if(F.array_contains("reasons", "duplicate_conversation")).alias("duplicates"), (F.count_if(F.size("reasons") == 0) / F.count(F.lit(1))).alias("keep_ratio"),
     )
     return out
 
@@ -79,12 +84,12 @@ def _reason_counts(s, d):
 
 def _buckets(s, d):
     r = _scored(s, d).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    return r.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 6))
+    return r.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 9))
 
 
 def _means(s, d):
     r = _scored(s, d)
-    return r.groupBy("source").agg(F.round(F.avg("score"), 6).alias("mean_score"), *[F.round(F.avg(f), 6).alias(f) for f in C.FEATURES])
+    return r.groupBy("source").agg(_mean("score").alias("mean_score"), *[_mean(f).alias(f) for f in C.FEATURES])
 
 
 def _histogram(s, d):
@@ -127,7 +132,7 @@ def _source_rank(s, d):
 
 
 def _subset_report(s, d):
-    r = _given(s, d).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 6).alias("mean"))
+    r = _given(s, d).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"), _mean("quality_score").alias("mean"))
     return r
 
 
@@ -218,22 +223,22 @@ def queries():
 def oracle_sql():
     w, g = "with " + _SQL_ROWS, "with " + _SQL_GIVEN
     return {
-        "curation_funnel": w + "select bucket, count(*) as n, round(avg(score), 6) as mean_score from bucketed group by bucket",
+        "curation_funnel": w + "select bucket, count(*) as n, round(sum(score), 9) / count(score) as mean_score from bucketed group by bucket",
         "curation_reasons": w + "select record_id, array_to_string(reasons, ',') as reasons from rows3",
-        "curation_filter_report": w + "select source, count(*) as total, count(*) filter (len(reasons) = 0) as kept, count(*) filter (len(reasons) > 0) as rejected, count(*) filter (list_contains(reasons, 'duplicate_conversation')) as duplicates, round(avg((len(reasons) = 0)::int), 6) as keep_ratio from rows3 group by rollup(source)",
+        "curation_filter_report": w + "select source, count(*) as total, count(*) filter (len(reasons) = 0) as kept, count(*) filter (len(reasons) > 0) as rejected, count(*) filter (list_contains(reasons, 'duplicate_conversation')) as duplicates, count(*) filter (len(reasons) = 0) / count(*) as keep_ratio from rows3 group by rollup(source)",
         "curation_reason_counts": w + ", e as (select source, unnest(reasons) as reason from rows3) select source, reason, count(*) as n from e group by grouping sets ((source, reason), (reason))",
         "curation_features": w + f"select record_id, {', '.join(f'round({f}::double, 9) as {f}' for f in C.FEATURES)} from feats",
         "curation_scored": w + "select record_id, score, bucket from bucketed",
-        "curation_bucket_ratios": w + "select source, bucket, count(*) as n, round(count(*) / sum(count(*)) over (partition by source), 6) as ratio from bucketed group by source, bucket",
+        "curation_bucket_ratios": w + "select source, bucket, count(*) as n, round(count(*) / sum(count(*)) over (partition by source), 9) as ratio from bucketed group by source, bucket",
         "curation_bucket_pivot": w + "select source, count(*) filter (bucket = 'high_confidence_keep') as high_confidence_keep, count(*) filter (bucket = 'borderline_review') as borderline_review, count(*) filter (bucket = 'high_risk_drop') as high_risk_drop from bucketed group by source",
-        "curation_means": w + f"select source, round(avg(score), 6) as mean_score, {', '.join(f'round(avg({f}::double), 6) as {f}' for f in C.FEATURES)} from bucketed group by source",
+        "curation_means": w + f"select source, round(sum(score), 9) / count(score) as mean_score, {', '.join(f'round(sum({f}::double), 9) / count({f}) as {f}' for f in C.FEATURES)} from bucketed group by source",
         "curation_histogram": w + "select r.bin::int as bin, count(score) as n from range(10) r(bin) left join bucketed on least(9, floor(score * 10)) = r.bin group by 1",
         "curation_hashes": w + "select record_id, hash from rows1",
         "curation_exact_dedup": w + ", k as (select source, hash, min(record_id) as m from rows1 group by all), n as (select source, count(*) as rows from rows1 group by all) select source, n.rows, count(*) as kept, sum(m)::bigint as id_sum, n.rows - count(*) as duplicates from k join n using (source) group by source, n.rows",
         "curation_top_high": g + f"select record_id from given where bucket = 'high_confidence_keep' order by {_BEST} limit {_TOP}",
         "curation_high_fill": g + f"select record_id, bucket from given where bucket in ('high_confidence_keep', 'borderline_review') order by bucket <> 'high_confidence_keep', {_BEST} limit {_FILL}",
         "curation_source_rank": g + f"select source, record_id, rank from (select *, row_number() over (partition by source order by {_BEST}) as rank from given) where rank <= 5",
-        "curation_subset_report": g + "select source, bucket, count(*) as n, round(avg(quality_score), 6) as mean from given group by all",
+        "curation_subset_report": g + "select source, bucket, count(*) as n, round(sum(quality_score), 9) / count(quality_score) as mean from given group by all",
         "curation_turn_order": w + ", e as (select record_id, unnest(range(len(conv))) as turn, unnest(conv) as x from rows1), l as (select *, lag(x.\"from\") over (partition by record_id order by turn) as before from e) select record_id, turn::int as turn, x.\"from\" as speaker from l where x.\"from\" = before or (turn = 0 and x.\"from\" <> 'human')",
         "curation_strict_outcomes": "with " + _SQL_STRICT + "select outcome, count(*) as n from o group by outcome",
         "curation_payload": w + "select record_id, md5('问题：' || q || chr(10) || '回答：' || a) as payload_md5, len(conv) as turns, length(q) as question_chars, length(a) as answer_chars from rows1 where len(conv) >= 2",

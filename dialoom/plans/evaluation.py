@@ -41,7 +41,7 @@ def _themed(s, d):
 
 def _benchmark(s, d):
     """Mean of the example scores overall, by theme and by axis; clipped after the mean."""
-    agg = (F.round(F.avg("score"), 6).alias("raw_mean"), F.round(E.clip(F.avg("score")), 6).alias("mean"), F.count("score").alias("n"))
+    agg = (F.round(F.avg("score"), 9).alias("raw_mean"), F.round(E.clip(F.avg("score")), 9).alias("mean"), F.count("score").alias("n"))
     themed = _themed(s, d)
     overall = themed.agg(*agg).select(F.lit("overall").alias("dim"), F.lit("all").alias("key"), "raw_mean", "mean", "n")
     theme = themed.groupBy("theme").agg(*agg).select(F.lit("theme").alias("dim"), F.col("theme").alias("key"), "raw_mean", "mean", "n")
@@ -207,7 +207,7 @@ def oracle_sql():
     return {
         "rubric_scores": it + f"select example, round({_SCORE}, 9) as score from items group by example",
         "rubric_axis": it + f"select * from (select example, split_part(axis, ':', -1) as axis, round({_SCORE}, 9) as score from items group by all) where score is not null",
-        "rubric_benchmark": it + f", sc as (select example, {_SCORE} as score from items group by example), th as (select sc.*, 'theme:' || lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) as theme from sc join orders on o_orderkey = example), ax as (select example, split_part(axis, ':', -1) as axis, {_SCORE} as score from items group by all), u as (select 'overall' as dim, 'all' as key, score from th union all select 'theme', theme, score from th union all select 'axis', axis, score from ax where score is not null) select dim, key, round(avg(score), 6) as raw_mean, round({clip.format('avg(score)')}, 6) as mean, count(score) as n from u group by dim, key",
+        "rubric_benchmark": it + f", sc as (select example, {_SCORE} as score from items group by example), th as (select sc.*, 'theme:' || lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) as theme from sc join orders on o_orderkey = example), ax as (select example, split_part(axis, ':', -1) as axis, {_SCORE} as score from items group by all), u as (select 'overall' as dim, 'all' as key, score from th union all select 'theme', theme, score from th union all select 'axis', axis, score from ax where score is not null) select dim, key, round(avg(score), 9) as raw_mean, round({clip.format('avg(score)')}, 9) as mean, count(score) as n from u group by dim, key",
         "rubric_manifest": it + "select example, count(*) as n_rubrics, array_to_string(list_sort(list_distinct(list(axis))), ',') as tags from items group by example",
         "rubric_consensus": it + f"select example, round({_SCORE}, 9) as score from items where example in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by example",
         "rubric_missing": "select o_orderkey as k, 'example' as side from orders where o_orderkey not in (select l_orderkey from lineitem) union all select distinct l_orderkey, 'response' from lineitem where l_orderkey not in (select o_orderkey from orders)",

@@ -85,7 +85,7 @@ def _pending(s, d):
 
 def _audit_summary(s, d):
     a = table(s, d, "pair_audits")
-    return a.agg(F.count(F.lit(1)).alias("n"), F.count_if("swap_pair").alias("swapped"), F.count_if(F.col("label_correct") == False).alias("wrong"), F.round(F.avg(F.col("swap_pair").cast("int")), 6).alias("swap_ratio"))  # noqa: E712
+    return a.agg(F.count(F.lit(1)).alias("n"), F.count_if("swap_pair").alias("swapped"), F.count_if(F.col("label_correct") == False).alias("wrong"), F.round(F.avg(F.col("swap_pair").cast("int")), 9).alias("swap_ratio"))  # noqa: E712
 
 
 def _tag_counts(s, d):
@@ -221,7 +221,7 @@ def _selection(s, d):
 
 def _selection_summary(s, d):
     c = _slice_rows(s, d).select("source_dataset", "risk", F.explode("tags").alias("tag"), "priority")
-    return c.groupingSets([[F.col("tag")], [F.col("source_dataset")], [F.col("risk")]], "tag", "source_dataset", "risk").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("priority"), 6).alias("mean_priority"))
+    return c.groupingSets([[F.col("tag")], [F.col("source_dataset")], [F.col("risk")]], "tag", "source_dataset", "risk").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("priority"), 6) / F.count("priority")).alias("mean_priority"))
 
 
 def _slice_examples(s, d):
@@ -254,7 +254,7 @@ def oracle_sql():
         "pairs_keep_last": k + "select max(pair_id) as pair_id from k group by k",
         "pairs_audit_completeness": "with a as (select * from (select *, row_number() over (partition by sample_id order by audited_at desc nulls last, audit_id desc) as i from pair_audits) where i = 1), p as (select distinct sample_id from preference_pairs) select coalesce(p.sample_id, a.sample_id) as sample_id, audit_id, p.sample_id is not null as has_pair, a.sample_id is not null as has_audit from p full join a on p.sample_id = a.sample_id",
         "pairs_pending": "select distinct sample_id from preference_pairs where sample_id not in (select sample_id from pair_audits where sample_id is not null)",
-        "pairs_audit_summary": "select count(*) as n, count(*) filter (swap_pair) as swapped, count(*) filter (label_correct = false) as wrong, round(avg(swap_pair::int), 6) as swap_ratio from pair_audits",
+        "pairs_audit_summary": "select count(*) as n, count(*) filter (swap_pair) as swapped, count(*) filter (label_correct = false) as wrong, round(avg(swap_pair::int), 9) as swap_ratio from pair_audits",
         "pairs_tag_counts": "with t as (select 'issue' as kind, unnest(issue_tags) as tag from pair_audits union all select 'target', unnest(target_tags) from pair_audits union all select 'strength', rewrite_strength from pair_audits) select kind, lower(trim(tag)) as tag, count(*) as n from t where trim(tag) <> '' group by all",
         "pairs_sanitised": f"with t as (select *, coalesce(nullif({S.strip('response_chosen')}, ''), response_rejected) as c, coalesce(nullif({S.strip('response_rejected')}, ''), response_chosen) as r from preference_pairs) select pair_id, md5(coalesce(c, '')) as chosen, md5(coalesce(case when c = r then response_rejected else r end, '')) as rejected from t",
         "pairs_positional_join": "select pair_id, audit_id from (select pair_id, row_number() over (order by pair_id) as i from preference_pairs) join (select audit_id, row_number() over (order by audit_id) as i from pair_audits) using (i)",
@@ -265,7 +265,7 @@ def oracle_sql():
         "slice_best_priority": "select cand_id, hash from (select cand_id, lower(source_hash) as hash, row_number() over (partition by lower(source_hash) order by priority_score desc nulls last, cand_id) as i from candidates where source_hash is not null) where i = 1",
         "slice_prompt_hash": f"select cand_id, sha1(coalesce(array_to_string(list_transform(prompt, lambda m: m.\"role\" || '::' || lower({S.collapse('m.\"content\"')})), '||'), '')) as prompt_hash from candidates",
         "slice_held_out": f"with c as (select cand_id, lower(source_hash) as hash, {S.key('source_split')} as split from candidates where source_hash <> '') select cand_id from c where split <> 'train' and hash not in (select hash from c where split = 'train')",
-        "slice_summary": c + ", e as (select source_dataset, risk, unnest(tags) as tag, priority from c4) select tag, source_dataset, risk, count(*) as n, round(avg(priority), 6) as mean_priority from e group by grouping sets ((tag), (source_dataset), (risk))",
+        "slice_summary": c + ", e as (select source_dataset, risk, unnest(tags) as tag, priority from c4) select tag, source_dataset, risk, count(*) as n, round(sum(priority), 6) / count(priority) as mean_priority from e group by grouping sets ((tag), (source_dataset), (risk))",
         "slice_examples": c + ", e as (select cand_id, unnest(tags) as tag, priority from c4) select tag, i, cand_id from (select *, row_number() over (partition by tag order by priority desc, cand_id) as i from e) where i <= 5",
         "rewards": r + f""", b as (select *, {_bag_sql('completion')} as ba, {_bag_sql('ref')} as bb from r1),
 o as (select *, case when len(ba) = 0 or len(bb) = 0 then 0.0 else 2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(ba, bb)), lambda x: least(len(list_filter(ba, lambda y: y = x)), len(list_filter(bb, lambda y: y = x))))), 0) / (len(ba) + len(bb)) end as f1 from b)
