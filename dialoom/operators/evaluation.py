@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,19 +80,63 @@ def win_rates(df: DataFrame, model: str, item: str, score: str, size: str | None
     """``model, other, value``: mean over items of the share of row pairs that ``model`` wins.
 
     Ties and null scores are skipped; with ``size``, so are pairs whose lengths
-    differ by more than ``within`` of their mean, or are both zero. Rows meet only
-    within an item.
+    differ by more than ``within`` of their mean, or are both zero. Equal rows are
+    counted first; then each item counts the smaller scores of the other models by
+    sorting, so no pair of rows is built. An item's distinct rows are in one task.
     """
-    a = df.where(F.col(score).isNotNull()).select(F.col(item).alias("_item"), F.col(model).alias("model"), F.col(score).alias("_a"), F.col(size or score).alias("_la"))
-    b = a.select("_item", F.col("model").alias("other"), F.col("_a").alias("_b"), F.col("_la").alias("_lb"))
-    met = a.join(b, "_item").where((F.col("model") != F.col("other")) & (F.col("_a") != F.col("_b")))
-    if size:
-        mean = (F.col("_la") + F.col("_lb")) / 2
-        met = met.where((mean > 0) & (F.abs(F.col("_la") - F.col("_lb")) <= within * mean))
-    per = met.groupBy("_item", "model", "other").agg(F.avg((F.col("_a") > F.col("_b")).cast("double")).alias("v"))
+    keys = [F.col(item).alias("_item"), F.col(model).cast("string").alias("model"), F.col(score).cast("double").alias("_score"), (F.col(size) if size else F.lit(1)).cast("double").alias("_size")]
+    cells = df.where(F.col(score).isNotNull()).select(*keys).where("_item is not null and _size is not null").groupBy("_item", "model", "_score", "_size").agg(F.count(F.lit(1)).alias("_c"))
+
+    def shares(rows):
+        own = {m: tuple(x[c].to_numpy() for c in ("_score", "_size", "_c")) for m, x in rows.groupby("model")}
+        found = {(m, o): _wins_and_losses(own[m], own[o], within) for m in own for o in own if m != o}
+        return pd.DataFrame([(m, o, w / (w + l)) for (m, o), (w, l) in found.items() if w + l], columns=["model", "other", "v"])
+
+    per = cells.groupBy("_item").applyInPandas(shares, "model string, other string, v double")
     return per.groupBy("model", "other").agg(F.avg("v").alias("value"))
 
 
+def _wins_and_losses(a: tuple, b: tuple, within: float) -> tuple[int, int]:
+    """How many pairs of the rows ``a`` and ``b`` (scores, sizes, counts) either side wins, of those close in size.
+
+    Sorted by size, the partners of a row are a range; the smaller scores before a
+    place are counted in sorted blocks of 1, 2, 4, ... rows.
+    """
+    score, size, count = a
+    order = np.argsort(b[1], kind="stable")
+    sizes, weights = b[1][order], b[2][order]
+    n, values = len(sizes), np.unique(b[0])
+    rank, span = np.searchsorted(values, b[0][order]), len(values) + 1
+    close = lambda i: (size + sizes[i] > 0) & (np.abs(size - sizes[i]) <= within * ((size + sizes[i]) / 2))
+    low = _first(lambda i: close(i) | (sizes[i] > size) | (sizes[i] == size) & (size > 0), len(size), n)
+    high = _first(lambda i: (sizes[i] > size) & ~close(i), len(size), n)
+    below, upto = np.searchsorted(values, score), np.searchsorted(values, score, "right")
+    wins = losses = 0
+    total = np.concatenate(([0], np.cumsum(weights)))
+    for j in range(n.bit_length()):
+        key = (np.arange(n) >> j) * span + rank
+        by = np.argsort(key, kind="stable")
+        key, before = key[by], np.concatenate(([0], np.cumsum(weights[by])))
+        for place, sign in ((high, 1), (low, -1)):
+            block = (place >> j) - 1
+            use = (place >> j & 1).astype(bool)
+            block, c = block[use], sign * count[use]
+            start, end = total[block << j], total[(block + 1) << j]
+            wins += int((c * (before[np.searchsorted(key, block * span + below[use])] - start)).sum())
+            losses += int((c * (end - before[np.searchsorted(key, block * span + upto[use])])).sum())
+    return wins, losses
+
+
+def _first(holds, rows: int, n: int) -> np.ndarray:
+    """For each row the first of n places at which a condition holds that stays true from there; n if there is none."""
+    low, high = np.zeros(rows, np.int64), np.full(rows, n, np.int64)
+    while (open_ := low < high).any():
+        middle = np.minimum((low + high) // 2, n - 1)
+        true = holds(middle)
+        high, low = np.where(open_ & true, middle, high), np.where(open_ & ~true, middle + 1, low)
+    return low
+
+
 def bootstrap_std(df: DataFrame, by: list[str], value: str, *, rounds: int = 200, seed: int = 7) -> DataFrame:
     """``by, std``: spread of the clipped mean over Poisson resamples; every row draws its own weights, so one pass does all rounds."""
     draw = lambda i: F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), i), F.lit(1_000_003)) / 1_000_003.0

@@ -86,36 +86,39 @@ _PLACE = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "length"
 _REPL = "repl as (select 'm' || (l_suppkey % 5) as model, l_orderkey % 200 as example, l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_quantity, round(l_discount * 10 - 0.1, 6) as score, l_quantity as length from lineitem)"
 
 
-def _worst(s, d):
-    """Worst of k for k up to 5, of the first eight replicates of each example."""
-    w = Window.partitionBy("model", "example").orderBy(*_PLACE)
-    r = _replicates(s, d).withColumn("i", F.row_number().over(w)).where("i <= 8")
-    return E.worst_at_k(r, ["model"], "example", "score", 5).select("model", "k", F.round(E.clip(F.col("value")), 9).alias("value"))
+def _placed(s, d, first):
+    """Replicates with their place ``i`` in the example: all of them, or the ``first`` that the SQL of a query names."""
+    r = _replicates(s, d).withColumn("i", F.row_number().over(Window.partitionBy("model", "example").orderBy(*_PLACE)))
+    return r.where(F.col("i") <= first) if first else r
 
 
-def _variability(s, d):
-    w = Window.partitionBy("model", "example").orderBy(*_PLACE)
-    r = _replicates(s, d).withColumn("i", F.row_number().over(w)).where("i <= 8").groupBy("model", "i").agg(E.clip(F.avg("score")).alias("m"))
-    return r.groupBy("model").agg(*[F.round(f("m"), 9).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("std", F.stddev_pop))])
+def _worst(first=None):
+    """Worst of k for k up to 5."""
+    return lambda s, d: E.worst_at_k(_placed(s, d, first), ["model"], "example", "score", 5).select("model", "k", F.round(E.clip(F.col("value")), 9).alias("value"))
 
 
-def _wins(controlled):
+def _variability(first=None):
     def run(s, d):
-        w = Window.partitionBy("model", "example").orderBy(*_PLACE)
-        r = _replicates(s, d).withColumn("i", F.row_number().over(w)).where("i <= 8")
-        return E.win_rates(r, "model", "example", "score", "length" if controlled else None).withColumn("value", F.round("value", 9))
+        r = _placed(s, d, first).groupBy("model", "i").agg(E.clip(F.avg("score")).alias("m"))
+        return r.groupBy("model").agg(*[F.round(f("m"), 9).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("std", F.stddev_pop))])
 
     return run
 
 
-def _win_matrix(s, d):
-    r = _wins(False)(s, d)
-    return r.groupBy("model").pivot("other", [f"m{i}" for i in range(5)]).agg(F.first("value"))
+def _wins(controlled, first=None):
+    return lambda s, d: E.win_rates(_placed(s, d, first) if first else _replicates(s, d), "model", "example", "score", "length" if controlled else None).withColumn("value", F.round("value", 9))
 
 
-def _win_delta(s, d):
-    a, b = _wins(False)(s, d), _wins(True)(s, d).withColumnRenamed("value", "controlled")
-    return a.join(b, ["model", "other"]).select("model", "other", F.round((F.col("value") - F.col("controlled")) / F.nullif(F.col("value") - 0.5, F.lit(0.0)), 6).alias("delta"))
+def _win_matrix(first=None):
+    return lambda s, d: _wins(False, first)(s, d).groupBy("model").pivot("other", [f"m{i}" for i in range(5)]).agg(F.first("value"))
+
+
+def _win_delta(first=None):
+    def run(s, d):
+        a, b = _wins(False, first)(s, d), _wins(True, first)(s, d).withColumnRenamed("value", "controlled")
+        return a.join(b, ["model", "other"]).select("model", "other", F.round((F.col("value") - F.col("controlled")) / F.nullif(F.col("value") - 0.5, F.lit(0.0)), 6).alias("delta"))
+
+    return run
 
 
 def _pass_at_k(s, d):
@@ -194,7 +197,9 @@ def queries():
         "rubric_scores": lambda s, d: _scores(s, d).select("example", F.round("score", 9).alias("score")), "rubric_axis": lambda s, d: _axis(s, d).withColumn("score", F.round("score", 9)), "rubric_benchmark": _benchmark, "rubric_manifest": _manifest, "rubric_consensus": _consensus,
         "rubric_missing": _missing, "rubric_cache_tiers": _cached, "sample_themes": _theme_sample, "sample_uniform": _uniform_sample,
         "agreement_clusters": _agreement, "agreement_overall": _agreement_all, "agreement_f1": _agreement_f1, "agreement_raters": _agreement_rater, "agreement_weighted": _weighted, "rater_summary": _rater_summary,
-        "worst_at_k": _worst, "run_variability": _variability, "win_rates": _wins(False), "win_rates_length": _wins(True), "win_matrix": _win_matrix, "win_delta": _win_delta, "pass_at_k": _pass_at_k, "bootstrap_std": _bootstrap, "reference_stats": _reference_stats, "rank_percentiles": _percentile,
+        "worst_at_k": _worst(8), "run_variability": _variability(8), "win_rates": _wins(False, 8), "win_rates_length": _wins(True, 8), "win_matrix": _win_matrix(8), "win_delta": _win_delta(8),  # the eight of their SQL
+        "worst_at_k_all": _worst(), "run_variability_all": _variability(), "win_rates_all": _wins(False), "win_rates_length_all": _wins(True), "win_matrix_all": _win_matrix(), "win_delta_all": _win_delta(),
+        "pass_at_k": _pass_at_k, "bootstrap_std": _bootstrap, "reference_stats": _reference_stats, "rank_percentiles": _percentile,
     }
 
 

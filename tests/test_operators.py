@@ -144,3 +144,17 @@ def test_bootstrap_spread(spark):
     assert evaluation.bootstrap_std(df, ["m"], "s", rounds=100).first()["std"] == pytest.approx(0.025, rel=0.35)
 
 
+@pytest.mark.parametrize("size", [None, "l"])
+def test_win_rates_against_pairs(spark, size):
+    rng = random.Random(4)
+    rows = [(m, e, rng.choice([None, 0.0, 0.2, 0.4, 0.6, 1.0]), rng.choice([None, 0, 19, 20, 21, rng.randrange(60)])) for m in "abc" for e in range(5) for _ in range(rng.randrange(1, 40))]
+    got = {(r["model"], r["other"]): r["value"] for r in evaluation.win_rates(spark.createDataFrame(rows, "m string, e int, s double, l int"), "m", "e", "s", size).collect()}
+    for m, o in itertools.permutations("abc", 2):
+        shares = []
+        for e in range(5):
+            pairs = [(x, y) for x in rows for y in rows if (x[0], y[0]) == (m, o) and x[1] == y[1] == e and None not in (x[2], y[2]) and x[2] != y[2]]
+            if size:
+                pairs = [(x, y) for x, y in pairs if None not in (x[3], y[3]) and x[3] + y[3] > 0 and abs(x[3] - y[3]) <= 0.1 * ((x[3] + y[3]) / 2)]
+            if pairs:
+                shares.append(sum(x[2] > y[2] for x, y in pairs) / len(pairs))
+        assert got[m, o] == pytest.approx(sum(shares) / len(shares))

@@ -32,3 +32,11 @@ def test_entry_and_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["worst_at_k", "run_variability", "win_rates", "win_rates_length", "win_matrix", "win_delta"])
+def test_all_replicates_count(spark, small, duck, name):
+    """The registered SQL without its cap of eight."""
+    cap = " where i <= 8"
+    assert cap in SQL[name]
+    same(QUERIES[f"{name}_all"](spark, small), duck, SQL[name].replace(cap, ""))
