@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.functions import text as T
+
 
 def rubric_score(points: Column, met: Column) -> Column:
     """Aggregate: points of the met items over all positive points; null where there are none."""
@@ -147,6 +150,29 @@ def bootstrap_std(df: DataFrame, by: list[str], value: str, *, rounds: int = 200
     return means.groupBy(*by).agg(F.stddev_pop(clip(F.col("_m"))).alias("std"))
 
 
+def best_overlap_f1(text: Column, *references: Column) -> Column:
+    """The largest F1 of the letter pairs of a text and of any reference, as ``text.bag_overlap_f1`` of ``text.bigrams``.
+
+    Pairs are counted in Arrow batches: the column form takes quadratic time in the length of a text.
+    """
+
+    @F.pandas_udf("double")
+    def best(*columns: pd.Series) -> pd.Series:
+        return pd.Series([max(_overlap_f1(own, _pairs(r)) for r in refs) for own, refs in ((_pairs(t), refs) for t, *refs in zip(*columns))], dtype="float64")
+
+    return best(*map(T.letters_only, (text, *references)))
+
+
+def _pairs(t: str) -> Counter:
+    return Counter(t) if len(t) == 1 else Counter(map(str.__add__, t, t[1:]))
+
+
+def _overlap_f1(a: Counter, b: Counter) -> float:
+    if not a or not b:
+        return 0.0
+    return 2.0 * sum(min(n, b[g]) for g, n in a.items() if g in b) / (a.total() + b.total())
+
+
 def running_record(df: DataFrame, by: list[str], order: list, value: str, best: str = "max") -> DataFrame:
     """Rows that beat every earlier row of their group."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -118,7 +118,7 @@ def _error_view(s, d):
 def _best_reference(s, d):
     """The best overlap of an answer with either reference."""
     c = table(s, d, "candidates").where("reference_answer is not null")
-    best = F.greatest(*[T.bag_overlap_f1(T.bigrams(F.substring("question", 1, 60)), T.bigrams(F.substring(x, 1, 60))) for x in ("reference_answer", "negative_reference_answer")])
+    best = E.best_overlap_f1(F.col("question"), F.col("reference_answer"), F.col("negative_reference_answer"))
     return c.select("cand_id", F.round(best, 9).alias("best"))
 
 

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 from conftest import same
 
@@ -40,3 +43,17 @@ def test_all_replicates_count(spark, small, duck, name):
     cap = " where i <= 8"
     assert cap in SQL[name]
     same(QUERIES[f"{name}_all"](spark, small), duck, SQL[name].replace(cap, ""))
+
+
+def test_best_reference_takes_whole_texts(spark, small):
+    got = {r["cand_id"]: r["best"] for r in QUERIES["best_reference"](spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/candidates.parquet").where("cand_id is not null and reference_answer is not null").collect()
+
+    def pairs(text):
+        t = re.sub("[^\u4e00-\u9fffa-z0-9]+", "", (text or "").lower())
+        return Counter(t[i : i + 2] for i in range(max(len(t) - 1, min(len(t), 1))))
+
+    assert any(len(r["question"] or "") > 60 < len(r["reference_answer"]) for r in rows)
+    for r in rows:
+        q, refs = pairs(r["question"]), [pairs(r[x]) for x in ("reference_answer", "negative_reference_answer")]
+        assert got[r["cand_id"]] == pytest.approx(max(2 * (q & x).total() / (q.total() + x.total()) if q and x else 0.0 for x in refs), abs=1e-9)
