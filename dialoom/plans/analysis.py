@@ -173,10 +173,15 @@ def _profile(s, d):
 
 
 def _lines(s, d):
-    """Physical lines of each document, numbered from 1; blanks are skipped but counted. First and last of long texts."""
+    """Physical lines of each document, numbered from 1; blanks are skipped but counted."""
     r = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    r = r.withColumn("line_no", F.col("i") + 1).withColumn("back", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("i")))).where((F.col("line_no") <= 3) | (F.col("back") <= 3))
-    return r.where(F.trim("line") != "").select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+    return r.where(F.trim("line") != "").select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5("line").alias("line_md5"))
+
+
+def _outer_lines(s, d):
+    """The first and the last three of them, which the SQL names."""
+    size = _docs(s, d).select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return size.where((F.trim("line") != "") & ((F.col("i") < 3) | (F.col("n") - F.col("i") <= 3))).select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5("line").alias("line_md5"))
 
 
 def _sources_union(s, d):
@@ -207,7 +212,7 @@ def queries():
     return {
         "metric_aggregates": _metrics, "metric_long": _long, "metric_wide": _wide, "metric_error_view": _error_view, "category_drilldown": _drill, "quantile_table": _quantiles, "distinct_signals": _distinct, "has_any": _has_any, "density_histogram": _density,
         "correlations": _correlation, "mean_cost": _cost, "frontier": _frontier, "family_rank": _family_rank, "grade_rates": _grades, "category_accuracy": _category, "best_reference": _best_reference, "concentration": _concentration, "cluster_stats": _cluster_stats,
-        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_profile": _profile, "numbered_lines": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
+        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_profile": _profile, "numbered_lines": _outer_lines, "numbered_lines_all": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
     }
 
 

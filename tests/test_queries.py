@@ -57,3 +57,10 @@ def test_best_reference_takes_whole_texts(spark, small):
     for r in rows:
         q, refs = pairs(r["question"]), [pairs(r[x]) for x in ("reference_answer", "negative_reference_answer")]
         assert got[r["cand_id"]] == pytest.approx(max(2 * (q & x).total() / (q.total() + x.total()) if q and x else 0.0 for x in refs), abs=1e-9)
+
+
+def test_every_line_is_numbered(spark, small, duck):
+    """The registered SQL without its cap to the first and last three lines."""
+    cap = "(line_no <= 3 or n - line_no < 3) and "
+    assert cap in SQL["numbered_lines"]
+    same(QUERIES["numbered_lines_all"](spark, small), duck, SQL["numbered_lines"].replace(cap, ""))
