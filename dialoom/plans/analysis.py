@@ -162,7 +162,7 @@ def _docs(s, d):
 def _answers(s, d):
     """Extractions from texts: last number, letter answer, code block, object in braces, redaction, slug."""
     t = F.col("text")
-    r = _docs(s, d).select("doc_id", T.last_number(t).alias("number"), T.answer_letter(t).alias("letter"), F.md5(T.redacted(t)).alias("redacted_md5"), F.md5(T.slug(F.substring(t, 1, 80))).alias("slug_md5"), F.length(T.code_block(t)).alias("code_chars"))
+    r = _docs(s, d).select("doc_id", T.last_number(t).alias("number"), T.answer_letter(t).alias("letter"), F.md5(T.redacted(t)).alias("redacted_md5"), F.md5(T.slug(t)).alias("slug_md5"), F.length(T.code_block(t)).alias("code_chars"))
     return r
 
 

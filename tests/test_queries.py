@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from conftest import same
@@ -64,3 +65,12 @@ def test_every_line_is_numbered(spark, small, duck):
     cap = "(line_no <= 3 or n - line_no < 3) and "
     assert cap in SQL["numbered_lines"]
     same(QUERIES["numbered_lines_all"](spark, small), duck, SQL["numbered_lines"].replace(cap, ""))
+
+
+def test_slugs_of_whole_texts(spark, small):
+    got = {r["doc_id"]: r["slug_md5"] for r in QUERIES["answer_extraction"](spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 80").collect()
+    assert rows
+    for r in rows:
+        slug = re.sub("-+", "-", "".join(x if x.isalnum() or x in "-_" else "-" for x in r["text"].lower())).strip("-")
+        assert got[r["doc_id"]] == md5(slug.encode()).hexdigest()
