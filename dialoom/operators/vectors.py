@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
+from dialoom.session import durable
 
 
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
@@ -25,9 +30,69 @@ def tfidf(df: DataFrame, text: str, *, features: int = 12_000, least: int = 2, m
     """``df`` with the unit vector ``tfidf``: 1 + ln(count) times inverse document frequency."""
     grams = df.withColumn("_grams", char_ngrams(F.col(text)))
     counted = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=features, minDF=least, maxDF=most).fit(grams).transform(grams)
-    logged = counted.withColumn("_log", array_to_vector(F.transform(vector_to_array("_tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
+    log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())  # arrays would hold every feature of every row
+    logged = durable(counted.drop("_grams")).withColumn("_log", log("_tf"))  # written first: Spark takes no Python function over the lambdas of the n-grams
     weighted = IDF(inputCol="_log", outputCol="_idf").fit(logged).transform(logged)
-    return Normalizer(inputCol="_idf", outputCol="tfidf").transform(weighted).drop("_grams", "_tf", "_log", "_idf")
+    return Normalizer(inputCol="_idf", outputCol="tfidf").transform(weighted).drop("_tf", "_log", "_idf")
+
+
+def truncated_svd(df: DataFrame, column: str, k: int, out: str = "reduced", *, rounds: int = 6, seed: int = 42) -> DataFrame:
+    """``df`` with the sparse vectors ``column`` on their first min(n - 1, m - 1, k) right singular vectors, at least two; not centred.
+
+    Subspace iteration from a random start with ten spare directions: each round is
+    one pass over the written vectors. Only the directions come to the driver.
+    """
+    df = durable(df)
+    rows = df.select(F.unwrap_udt(column).alias("_v")).select("_v.indices", "_v.values", "_v.size")
+    n, m = rows.agg(F.count("size"), F.max("size")).first()
+    k = max(2, min(n - 1, m - 1, k))
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, min(m, k + 10))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(_gram_times(rows, q))[0]
+    values, turn = np.linalg.eigh(q.T @ _gram_times(rows, q))
+    shared = df.sparkSession.sparkContext.broadcast(q @ turn[:, np.argsort(-values)[:k]])
+
+    @F.pandas_udf("array<double>")
+    def onto(indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([v @ shared.value[i] for i, v in zip(indices, values)])
+
+    return df.withColumn("_v", F.unwrap_udt(column)).withColumn(out, array_to_vector(onto("_v.indices", "_v.values"))).drop("_v")
+
+
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """The product of A'A and q, A being the ``indices, values`` of the rows: parts by task, added up by place."""
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+
+    def parts(batches):
+        q = shared.value
+        g, met = np.zeros(q.shape), np.zeros(len(q), bool)
+        for batch in batches:
+            at, i, v = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
+            shift = batch.column(1).offsets.to_numpy()
+            for a, b, c in zip(at[:-1], at[1:], shift[:-1]):
+                x, y = i[a:b], v[c : c + b - a]
+                g[x] += np.outer(y, y @ q[x])
+                met[x] = True
+        yield packed(g, met)
+
+    def added(batches):
+        g, met = np.zeros(q_shape), np.zeros(q_shape[0], bool)
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            np.add.at(g, x, np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, q_shape[1]))
+            met[x] = True
+        yield packed(g, met)
+
+    def packed(g, met):
+        x = np.flatnonzero(met)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array([r.tobytes() for r in g[x]], pa.binary())], names=["place", "part"])
+
+    q_shape = q.shape
+    out = np.zeros(q_shape)
+    for r in rows.select("indices", "values").mapInArrow(parts, "place int, part binary").repartition("place").mapInArrow(added, "place int, part binary").collect():
+        out[r["place"]] = np.frombuffer(r["part"])
+    shared.destroy()
+    return out
 
 
 def reduced(df: DataFrame, column: str, k: int, out: str = "reduced") -> DataFrame:

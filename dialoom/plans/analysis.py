@@ -9,7 +9,7 @@ from dialoom.functions import text as T
 from dialoom.operators import evaluation as E
 from dialoom.operators import vectors as V
 from dialoom.plans import sqltext as S
-from dialoom.session import table
+from dialoom.session import durable, table
 
 
 def _metrics(s, d):
@@ -142,8 +142,8 @@ def _centroids(s, d):
 
 def _tfidf_clusters(s, d):
     docs = table(s, d, "documents").where("text is not null and text <> ''").select("doc_id", "text")
-    v = V.tfidf(docs, "text", features=2000)
-    return V.clustered(v, "tfidf", 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    v = V.truncated_svd(V.tfidf(docs, "text").select("doc_id", "tfidf"), "tfidf", 64)
+    return V.clustered(durable(v.select("doc_id", "reduced")), "reduced", 24).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _points(s, d):

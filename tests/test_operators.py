@@ -2,11 +2,15 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from dialoom.operators import cutoffs, dedup, evaluation, joins, prefix, quotas
+from dialoom.operators import cutoffs, dedup, evaluation, joins, prefix, quotas, vectors
 from dialoom.operators.components import connected_components
+from dialoom.plans import analysis
 
 
 def test_cutoffs_against_sorting(spark):
@@ -158,3 +162,21 @@ def test_win_rates_against_pairs(spark, size):
             if pairs:
                 shares.append(sum(x[2] > y[2] for x, y in pairs) / len(pairs))
         assert got[m, o] == pytest.approx(sum(shares) / len(shares))
+
+
+def test_truncated_svd_spans_the_largest_directions(spark):
+    rng = np.random.default_rng(2)
+    a = (rng.random((60, 30)) < 0.3) * rng.random((60, 30)) * 0.9 ** np.arange(30)
+    df = spark.createDataFrame([(i, Vectors.sparse(30, {int(j): float(r[j]) for j in np.flatnonzero(r)})) for i, r in enumerate(a)], ["i", "v"])
+    got = np.array([r["reduced"].toArray() for r in vectors.truncated_svd(df, "v", 5, rounds=20).orderBy("i").collect()])
+    u, size, _ = np.linalg.svd(a, full_matrices=False)
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :5] * size[:5]), abs=1e-6)
+    assert len(vectors.truncated_svd(df.limit(20), "v", 64).first()["reduced"]) == 19
+
+
+def test_tfidf_clusters_are_the_whole_job(spark, small, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(vectors, "CountVectorizer", lambda **x: seen.update(x) or CountVectorizer(**x))
+    rows = analysis.queries()["tfidf_clusters"](spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text <> ''")
+    assert seen["vocabSize"] == 12_000 and len(rows) == 24 and sum(r["n"] for r in rows) == docs.count()
