@@ -1,11 +1,9 @@
 """Problem 5: the same or nearly the same records in training and other splits.
 
-Segment join: each evaluation question of n shingles is cut into more than n / 12
-segments. Similarity 0.6 leaves room for about n / 12 separate
-edits, fewer than there are segments, so one segment stays whole; training
-questions offer every substring of the lengths that similar texts are cut into, at every position,
-because similarity does not mind moved parts. A filter over the evaluation
-segments drops the training substrings that match none before anything is
+Prefix join: sets of similarity 0.6 share at least 0.6 n shingles of the larger
+set, so in any common order of shingles they share one among the first
+n - 0.6 n + 1 of either; each set offers these, rarest first. A filter over the
+evaluation shingles drops the training shingles that match none before anything is
 shuffled. Matches whose fingerprints are too far apart end in the join itself;
 the rest are compared exactly. An edit-distance verification would lose the
 moved parts (see the README), so the exact check is on the shingle sets.
@@ -28,6 +26,8 @@ from dialoom.session import durable
 #: A text of n shingles is cut into at least n // SEGMENT + 1 segments.
 SEGMENT = 12
 LENGTHS = tuple(range(3, SEGMENT))
+#: Evaluation texts whose shingles are counted for the order, and places of the counts.
+COUNTED, BUCKETS = 5000, 1 << 18
 #: Sets that a task remembers in order not to offer a copy again.
 REMEMBERED = 200_000
 #: Minimum hashes of a fingerprint, two bits each.
@@ -35,7 +35,7 @@ FINGERPRINT = 96
 
 
 def segment_length(n: np.ndarray) -> np.ndarray:
-    """The segment length of texts with n distinct shingles: the longest that gives one segment more than edits."""
+    """Of the segment join that the prefix join replaced (it and offered_lengths find nothing here any more; their test stands): the segment length of texts with n distinct shingles: the longest that gives one segment more than edits."""
     return np.clip(n // (n // SEGMENT + 1), LENGTHS[0], LENGTHS[-1])
 
 
@@ -59,11 +59,30 @@ def _rows(batches: Iterator[pa.RecordBatch], column: int):
             yield part, found, hasher, h, sizes
 
 
-def _segments(train: bool, similarity: float, wanted=None):
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(h: np.ndarray, sizes: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set of which similar sets share at least one, and the number of the set; ``common``: counts by which rare ones come first."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((h, common[(h & np.uint64(len(common) - 1)).astype(np.int64)], doc))
+    most = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    use = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < most[doc]
+    return h[order][use], doc[use]
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Rough counts of shingles in a few texts; they only order shingles, so any counts give the same pairs."""
+    found = [shingles.tokens(r[0]) for r in texts.select("text").limit(COUNTED).collect()]
+    out, hasher = np.zeros(BUCKETS, np.int32), shingles.TokenHashes()
+    for i in range(0, len(found), 2048):
+        h, _ = shingles.sets(found[i : i + 2048], hasher)
+        out += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+    return out
+
+
+def _prefixes(similarity: float, common, wanted=None):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, marks = (wanted[0], wanted[1].value) if wanted else (0, None)
         seen: set[int] = set()
-        for _, found, hasher, h, sizes in _rows(batches, 0):
+        for _, found, _, h, sizes in _rows(batches, 0):
             ids = shingles.set_identity(h, sizes)
             fresh = np.zeros(len(found), bool)
             for i in np.flatnonzero(sizes):
@@ -74,34 +93,19 @@ def _segments(train: bool, similarity: float, wanted=None):
                 seen.clear()
             if not fresh.any():
                 continue
-            found = [f for f, x in zip(found, fresh) if x]
-            n = np.array([len(f) for f in found])
             h, sizes, ids = h[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
             words = shingles.fingerprint(shingles.minhashes(h, sizes, FINGERPRINT))
-            hashes = hasher(found)
-            own = segment_length(sizes)
-            offers = offered_lengths(sizes, similarity) if train else {}
-            keys, docs = [], []
-            for length in LENGTHS:
-                if not (offers[length] if train else own == length).any():
-                    continue
-                k, doc, at = shingles.windows(hashes, n, length)
-                k = shingles.mix(k + np.uint64(length))
-                if train:
-                    place = k & np.uint64(bits - 1)
-                    use = offers[length][doc] & ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                else:
-                    # cut points every `length` tokens, and one segment that ends with the text
-                    use = (own[doc] == length) & ((at % length == 0) | (at == n[doc] - length))
-                keys.append(k[use])
-                docs.append(doc[use])
-            k, doc = np.concatenate(keys), np.concatenate(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, ids[doc], *(words[doc, i] for i in range(3)))], names=["segment", "set_id", "f0", "f1", "f2"])
-
-    return segments
-
-
-_SEGMENTS = "segment bigint, set_id bigint, f0 bigint, f1 bigint, f2 bigint"
+            k, doc = prefix(h, sizes, similarity, common.value)
+            if wanted:
+                place = k & np.uint64(bits - 1)
+                use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                k, doc = k[use], doc[use]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, ids[doc], *(words[doc, i] for i in range(3)))], names=["shingle", "set_id", "f0", "f1", "f2"])
+
+    return prefixes
+
+
+_PREFIXES = "shingle bigint, set_id bigint, f0 bigint, f1 bigint, f2 bigint"
 
 
 def _set_ids(rows: DataFrame) -> DataFrame:
@@ -125,14 +129,15 @@ def prepared(candidates: DataFrame) -> DataFrame:
 
 def similar_sets(evaluation: DataFrame, train: DataFrame, *, similarity: float = 0.6) -> DataFrame:
     """``e, t``: distinct sets of the evaluation and the training texts that reach ``similarity``, equal sets included."""
-    # copies mostly end in the task that reads them; one shuffle by segment serves what is left of them and the join
-    cut = durable(evaluation.select("text").mapInArrow(_segments(False, similarity), _SEGMENTS).repartition("segment").distinct())
-    bits, table = _filter(cut, "segment")
+    common = train.sparkSession.sparkContext.broadcast(_common(evaluation))
+    # copies mostly end in the task that reads them; one shuffle by shingle serves what is left of them and the join
+    cut = durable(evaluation.select("text").mapInArrow(_prefixes(similarity, common), _PREFIXES).repartition("shingle").distinct())
+    bits, table = _filter(cut, "shingle")
     marks = train.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
-    offered = train.select("text").mapInArrow(_segments(True, similarity, (bits, marks)), _SEGMENTS).repartition("segment").distinct()
+    offered = train.select("text").mapInArrow(_prefixes(similarity, common, (bits, marks)), _PREFIXES).repartition("shingle").distinct()
     far = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)), F.lit(0))
-    t = offered.select("segment", F.col("set_id").alias("t"), *(F.col(f"f{i}").alias(f"t{i}") for i in range(3)))
-    near = cut.withColumnRenamed("set_id", "e").join(t, "segment").where(far <= shingles.radius(FINGERPRINT, similarity)).select("e", "t").distinct()
+    t = offered.select("shingle", F.col("set_id").alias("t"), *(F.col(f"f{i}").alias(f"t{i}") for i in range(3)))
+    near = cut.withColumnRenamed("set_id", "e").join(t, "shingle").where(far <= shingles.radius(FINGERPRINT, similarity)).select("e", "t").distinct()
     near = durable(near)
     equal = near.where("e = t")
     near = near.where("e <> t")

@@ -115,6 +115,15 @@ def test_overlaps_against_brute_force(spark):
     assert sum(r["n_overlapping"] for r in report) == len(evaluation & {x for p in want for x in p}) and sum(r["n_rows"] for r in report) == len(evaluation)
 
 
+def test_overlaps_of_edits_in_every_segment(spark):
+    a, b = [f"w{i}" for i in range(13)], [f"v{i}" for i in range(25)]
+    cases = [(a, ["x", *a[1:-1], "y"]), (b, [*b[:6], "x", *b[6:17], "y", *b[17:]])]
+    rows = [(2 * i + j, "train" if j else "test", None, " ".join(t)) for i, case in enumerate(cases) for j, t in enumerate(case)]
+    assert all(jaccard(*map(" ".join, case)) >= 0.6 for case in cases)
+    assert sorted(tuple(r) for r in overlap.found(candidates(spark, rows)).collect()) == [(0, 1), (2, 3)]
+    assert sum(r["n_overlapping"] for r in overlap.report(candidates(spark, rows)).collect()) == 2
+
+
 def test_overlaps_of_nothing(spark):
     assert overlap.found(candidates(spark, [])).count() == 0 and overlap.report(candidates(spark, [])).count() == 0
     assert overlap.found(candidates(spark, [(1, "train", None, "a b c d e"), (2, None, None, "a b c d e"), (3, "", None, None)])).count() == 0
