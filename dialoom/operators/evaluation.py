@@ -140,13 +140,29 @@ def _first(holds, rows: int, n: int) -> np.ndarray:
     return low
 
 
-def bootstrap_std(df: DataFrame, by: list[str], value: str, *, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """``by, std``: spread of the clipped mean over Poisson resamples; every row draws its own weights, so one pass does all rounds."""
-    draw = lambda i: F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), i), F.lit(1_000_003)) / 1_000_003.0
-    # inverse of the Poisson(1) distribution function
-    weight = lambda u: F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).when(u < 0.999406, 5).otherwise(6)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", weight(draw(F.col("_round"))))
-    means = rows.groupBy(*by, "_round").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+def bootstrap_std(df: DataFrame, by: list[str], value: str, *, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """``by, std``: spread of the clipped mean over Poisson resamples; every row draws its own weights, which each task adds up in arrays."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64("_id", F.lit(seed)).alias("_h"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def added(batches):
+        steps = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        # the distribution function of Poisson(1)
+        upto = np.array([0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406])
+        sums: dict = {}
+        for batch in batches:
+            for key, x in batch.groupby(by, dropna=False):
+                total = sums.setdefault(key, np.zeros((2, rounds)))
+                for i in range(0, len(x), 1000):
+                    z = x["_h"].to_numpy()[i : i + 1000].astype(np.int64).view(np.uint64)[:, None] + steps
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(upto, (z >> np.uint64(11)) / 2.0**53, "right").astype(np.float64)
+                    total += np.stack((x["_v"].to_numpy()[i : i + 1000] @ w, w.sum(0)))
+        yield pd.DataFrame([(*key, list(t[0]), list(t[1])) for key, t in sums.items()], columns=[*by, "_s", "_w"])
+
+    parts = rows.mapInPandas(added, f"{kinds}, _s array<double>, _w array<double>").select(*by, F.posexplode(F.arrays_zip("_s", "_w")).alias("_round", "_x"))
+    means = parts.groupBy(*by, "_round").agg((F.sum("_x._s") / F.nullif(F.sum("_x._w"), F.lit(0.0))).alias("_m"))
     return means.groupBy(*by).agg(F.stddev_pop(clip(F.col("_m"))).alias("std"))
 
 

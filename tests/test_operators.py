@@ -180,3 +180,9 @@ def test_tfidf_clusters_are_the_whole_job(spark, small, monkeypatch):
     rows = analysis.queries()["tfidf_clusters"](spark, small).collect()
     docs = spark.read.parquet(f"{small}/documents.parquet").where("text <> ''")
     assert seen["vocabSize"] == 12_000 and len(rows) == 24 and sum(r["n"] for r in rows) == docs.count()
+
+
+def test_bootstrap_takes_a_thousand_rounds(spark):
+    df = spark.createDataFrame([("m", i, float(i % 2)) for i in range(400)], "m string, _id long, s double")
+    std = evaluation.bootstrap_std(df, ["m"], "s").first()["std"]
+    assert std == evaluation.bootstrap_std(df, ["m"], "s", rounds=1000).first()["std"] == pytest.approx(0.025, rel=0.1)
