@@ -2,14 +2,18 @@
 
 One pass looks at each answer beside its question: empty or placeholder, copy of
 the question (share of the answer's shingles that the question has), language
-(script and function words), wording that declines, and how the text ends. What
-one answer cannot tell is learnt from all of them:
-
-* openings (the first tokens, numbers masked) are clustered by MinHash, verified
-  by their exact similarity; a cluster that recurs over different questions,
-  whose answers consist of little else and mostly decline, is a refusal template,
-  and its short members are refusals even where the wording list has a gap;
-* a text without a final mark is finished if its last tokens mostly end a
+(scripts, and function words of the languages in Latin letters), wording that
+declines, and how the text ends. What one answer cannot tell is learnt from all:
+
+* Refusals. Numbers, and words taken from the question, are masked in each
+  clause, so that a template is the same clause under every question. A clause
+  that recurs over different questions, mostly in answers that decline, is part
+  of a refusal template; answers made of such clauses are refusals as well, and
+  what else recurs mostly in them joins the templates. So wordings are found that
+  no list has. The openings (first clause of five tokens) are clustered by
+  MinHash, verified at a similarity of 0.8 of their five-token shingles; a cluster
+  that recurs over different questions and mostly declines is a template too.
+* Endings. A text without a final mark is finished if its last tokens mostly end a
   sentence wherever else they stand in the corpus; those counts cover all answers.
 """
 
@@ -24,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import neardup, shingles
-from dialoom.operators.components import connected_components
 from dialoom.session import durable
 
 #: Letters that remain of a placeholder once marks, blanks and tags are gone.
@@ -39,23 +42,42 @@ DECLINES = re.compile(
 #: A decline followed by help is none.
 HELPS = re.compile(r"(?:不过|但是?|然而)[^。]{0,6}(?:可以|能|先)|\bbut (?:i can(?!no|'|’)|here|we can|it|a|an|the|in)\b", re.I)
 ASKS = (("en", re.compile(r"用英[文语]|in english", re.I)), ("zh", re.compile(r"用中文|用汉语|in chinese", re.I)), ("es", re.compile(r"西班牙[文语]|in spanish|en español", re.I)))
-SPANISH = frozenset("el la los las de del que y en un una por con para se su al es no si como más".split())
-ENGLISH = frozenset("the and of to in is that for with it on a an be you or if at not are".split())
+#: Scripts by their code points; the Latin script counts by words, the others by characters.
+SCRIPTS = (("zh", 0x4E00, 0x9FFF), ("zh", 0x3400, 0x4DBF), ("ja", 0x3041, 0x30FF), ("ko", 0xAC00, 0xD7A3), ("ru", 0x400, 0x52F), ("el", 0x370, 0x3FF), ("ar", 0x600, 0x6FF), ("he", 0x590, 0x5FF), ("hi", 0x900, 0x97F), ("th", 0xE01, 0xE5B))
+#: Frequent function words of the languages in Latin letters that are told apart.
+FUNCTION_WORDS = {
+    "en": "the and of to in is that for with it on a an be you or if at not are",
+    "es": "el la los las de del que y en un una por con para se su al es no si como más",
+    "fr": "le la les des du et est une dans pour que qui sur pas vous avec il ce au si",
+    "de": "der die das und ist nicht ein eine zu den mit von sie es auf für im bei wenn oder",
+    "pt": "o os as da do em um uma não com para se por mais ao são ou você na no",
+    "it": "il lo gli di che è un per non con del della si ma se sono alla una nel ha",
+}
 TERMINAL = "。．.!！?？"
 CONNECT = "，、：；,:;-—–－~～（(［[「『“‘《<&/+=*#"
 _CLOSERS = "\"'”’」』》】）)]］"
 #: Closing words that are often left without a final mark.
 CLOSINGS = re.compile(r"^(?:take care|all the best|best wishes|kind regards|wishing you .*|祝您?.*|愿您?.*|多保重.*|希望能帮到.*|有变化随时.*|谢谢.*|以上供参考)$", re.I | re.S)
 MARKS = re.compile(r"\s*(?:^|\n)\s*(?:[-*•·]|[（(]?\d{1,3}\s*[.、)）．:：])\s*$")
-SHORT_TOKENS = 60
-OPENING_TOKENS = 12
+#: A template stands under at least so many different questions, and at least this share of its answers decline.
+LEAST_QUESTIONS, DECLINED_SHARE = 5, 0.5
+#: Tokens of an opening's shingles, and the similarity of openings of one cluster.
+OPENING_WIDTH, OPENING_SIMILARITY = 5, 0.8
 #: Share of a context's occurrences elsewhere that end a sentence, from which a text that stops there is finished.
 ENDS_SHARE = 0.25
 COPY_SHARE = 0.6
 
+#: Parts of which every wording of DECLINES has one.
+DECLINING = "无法 不能 恕 不便 没有办法 没有资格 帮不了 暂不处理 不予 拒绝回答 无可奉告 can't cant can’t cannot won't won’t unable able decline allowed permitted qualified against outside refuse canno".split()
+#: What sounds like advice, sending the asker elsewhere aside.
+ADVISES = re.compile(r"建议(?!您?(?:直接)?(?:前往|咨询|就医|联系|到))|推荐|试试|应当|最好|注意|\b(?:should|try(?! a different)|drink|take (?!care)|keep|avoid|apply|start with)\b", re.I)
+_SENTENCE = re.compile(r"[^。！？!?\n.]+")
 _BREAK = re.compile(r"[。！？!?\n]|\.(?=\s|[一-鿿])")
-_TOKEN_END = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?|[一-鿿]|[。！？!?\n…]|\.(?=\s|$)")
-_END = re.compile(r"[。！？!?\n….]")
+_KINDS = np.zeros(0x10000, np.uint8)  # of the characters of clauses: letters, digits, Han by the character, marks that end a clause
+_KINDS[97:123], _KINDS[48:58], _KINDS[0x4E00:0xA000] = 1, 2, shingles.SINGLE
+_CLAUSE_MARKS = np.array([ord(c) for c in "，。！？!?;；:：,、\n\r…“”\"「」"], np.uint32)
+_SENTENCE_MARKS = np.array([ord(c) for c in "。！？!?\n…"], np.uint32)
+_NUMBER, _TAKEN, _MARK = (np.uint64(shingles.xxhash.xxh64_intdigest(x)) for x in ("number", "taken", "^"))
 
 
 def is_empty(text: str | None) -> bool:
@@ -65,33 +87,39 @@ def is_empty(text: str | None) -> bool:
     return not rest or rest in PLACEHOLDERS
 
 
-def language(tokens: list[str]) -> str | None:
-    """zh, en, es or None where it cannot be told."""
-    han = sum(1 for t in tokens if t >= "一")
-    words = [t for t in tokens if t < "一" and not t[0].isdigit()]
-    if han + len(words) < 3:
-        return None
-    if han >= len(words):
-        return "zh"
-    es, en = sum(w in SPANISH for w in words), sum(w in ENGLISH for w in words)
-    return "es" if es >= 3 and es > 2 * en else "en"
+_LONGEST = max(map(len, PLACEHOLDERS))
 
 
-def declines(text: str, tokens: int) -> bool:
-    return tokens <= SHORT_TOKENS and bool(DECLINES.search(text)) and not HELPS.search(text)
+def _may_be_empty(text: str, tokens: int) -> bool:
+    """False only where :func:`is_empty` is: more tokens than a placeholder has letters, and none of them in a tag."""
+    return tokens <= _LONGEST or "<" in text
+
+
+def declines(text: str) -> tuple[bool, bool, int]:
+    """Whether the wording declines, whether it does within the first two sentences, and how many other sentences sound like advice."""
+    low = text.lower()
+    if not any(x in low for x in DECLINING) or not DECLINES.search(text) or HELPS.search(text):
+        return False, False, 0
+    said = [bool(DECLINES.search(x)) for x in _SENTENCE.findall(text)]
+    return True, any(said[:2]), sum(bool(ADVISES.search(x)) and not d for x, d in zip(_SENTENCE.findall(text), said))
 
 
 def ending(text: str) -> tuple[str, str]:
     """How a text ends: ("done" | "broken" | "open", the text up to where its last tokens are to be judged)."""
     t = text.rstrip().rstrip("\u200b\ufeff \n\r\t\u3000\xa0")
-    if len(t) > 400:  # how a text ends shows in its last sentence; the letter keeps the cut from looking like a start
-        t = "x" + t[-400:]
-    if MARKS.search(t):
+    last = t[t.rfind("\n") + 1 :]
+    if MARKS.match("\n" + last):
         return "broken", ""
-    bare = re.sub(r"(?:[^\w\s。．.!！?？，、：；,:;…\-—–()（）\"'”’「」『』《》【】\[\]<>/&+=*#~～])+$", "", t).rstrip()  # emoji and the like
-    dots = re.sub(r"(?:…|\.{2,}|。{2,})+$", "", bare)
-    if dots != bare:
-        return "open", dots
+    n = len(t)
+    while n and not (t[n - 1].isalnum() or t[n - 1] == "_" or t[n - 1].isspace() or t[n - 1] in _KEPT):  # emoji and the like
+        n -= 1
+    bare = (t[:n] if n < len(t) else t).rstrip()
+    n = len(bare)
+    while n and bare[n - 1] in "….。":
+        n -= 1
+    tail = bare[n:]
+    if tail and (tail[-1] == "…" or len(tail) > 1 and tail[-1] == tail[-2]):
+        return "open", bare[:n]
     bare_closed = bare.rstrip(_CLOSERS)
     if bare != bare_closed and bare[-1] in "）)]】］" or bare_closed[-1:] in TERMINAL and bare_closed[-1:]:
         return "done", ""
@@ -102,74 +130,199 @@ def ending(text: str) -> tuple[str, str]:
     return "open", bare_closed
 
 
-_MARK = np.uint64(shingles.xxhash.xxh64_intdigest("^"))
+_KEPT = frozenset("。．.!！?？，、：；,:;…-—–()（）\"'”’「」『』《》【】[]<>/&+=*#~～")
+
+
+def _table(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 0x10000, points, 0)
+
 
+def _stops(p: np.ndarray, lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places of ``marks``, and of full stops that stand before a blank, a Han character or the end of a text."""
+    dot = p == 46
+    after = np.concatenate((p[1:], [np.uint32(10)])) if len(p) else p
+    after[(np.cumsum(lengths) - 1)[lengths > 0]] = 10
+    wide = (after <= 32) | (after == 0xA0) | (after == 0x3000) | (after - np.uint32(0x4E00) < 0x5200)
+    return np.isin(p, marks) | dot & wide
 
-def _context_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return shingles.mix(shingles.mix(shingles.mix(a) + b) + c)
 
+def contexts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of the texts: the hash of the last three tokens of its sentence, whether it ends the sentence, and the number of its text.
+
+    Numbers are masked, and a mark stands where the sentence begins.
+    """
+    p, lengths = shingles.points(texts)
+    kind = _KINDS[_table(p)]
+    stop = _stops(p, lengths, _SENTENCE_MARKS)
+    point = np.zeros(len(p), bool)  # the point within a number
+    point[1:-1] = (p[1:-1] == 46) & (kind[2:] == 2) & (kind[:-2] == 2) & ~stop[1:-1]
+    kind[point] = 2
+    h, place, sizes = shingles.token_hashes(p, lengths, kind)
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    h = np.where(kind[place] == 2, _NUMBER, h)
+    sentence = np.cumsum(stop)[place]
+    new = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])))
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    b = np.where(nth >= 1, np.roll(h, 1), _MARK)
+    a = np.where(nth >= 2, np.roll(h, 2), _MARK)
+    ends = np.concatenate((new[1:], [True]))
+    return shingles.mix(shingles.mix(shingles.mix(a) + b) + h), ends, doc
+
+
+def _unfinished(texts: list[str]) -> list[int | None]:
+    """The last context of each text, None where a sentence has just ended."""
+    h, _, doc = contexts(texts)
+    out: list[int | None] = [None] * len(texts)
+    for c, d in zip(h.view(np.int64).tolist(), doc.tolist()):
+        out[d] = c
+    return [c if t and not _BREAK.match(t[-1]) and t[-1] != "…" else None for c, t in zip(out, texts)]
+
+
+def _languages(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The language of each text as a number from 1 (see :data:`LANGUAGES`), 0 where it cannot be told."""
+    n = len(lengths)
+    ends = np.cumsum(lengths)
+    per = np.zeros((n, len(LANGUAGES) + 1), np.int64)
+    for code, low, high in SCRIPTS:
+        at = np.flatnonzero(p - np.uint32(low) <= high - low)
+        if len(at):
+            per[:, LANGUAGES.index(code) + 1] += np.bincount(np.searchsorted(ends, at, side="right"), minlength=n)
+    low = np.where((p - np.uint32(0xC0) < 31) & (p != 0xD7), p + np.uint32(32), p)
+    latin = ((low - np.uint32(97) < 26) | (low >= 0xDF) & (low < 0x250) & (low != 0xF7)).astype(np.uint8)
+    h, _, words = shingles.token_hashes(low, lengths, latin)
+    doc = np.repeat(np.arange(n), words)
+    place = np.minimum(np.searchsorted(_WORD_HASHES, h), len(_WORD_HASHES) - 1)
+    known = _WORD_HASHES[place] == h
+    hits = np.zeros((n, len(FUNCTION_WORDS)), np.int64)
+    for i in range(len(FUNCTION_WORDS)):
+        of = known & (_WORD_LANGUAGES[place] >> i & 1).astype(bool)
+        hits[:, i] = np.bincount(doc[of], minlength=n)
+    best = hits.argmax(1)
+    clear = (hits.max(1) >= 3) & (hits.max(1) > 2 * hits[:, 0])
+    kana, han = LANGUAGES.index("ja") + 1, LANGUAGES.index("zh") + 1
+    japanese = per[:, kana] * 4 > per[:, han]
+    per[:, kana] += np.where(japanese, per[:, han], 0)
+    per[:, han] = np.where(japanese & (per[:, kana] > 0), 0, per[:, han])
+    per[np.arange(n), np.where(clear, best, 0) + 1] += words
+    return np.where(per.sum(1) < 3, 0, np.where(per[:, han] >= per.sum(1) - per[:, han], han, per.argmax(1)))
+
+
+LANGUAGES = (*FUNCTION_WORDS, *dict.fromkeys(code for code, *_ in SCRIPTS))
+
+
+def _function_words() -> tuple[np.ndarray, np.ndarray]:
+    marks: dict[int, int] = {}
+    for i, words in enumerate(FUNCTION_WORDS.values()):
+        for w in words.split():
+            p, n = shingles.points([w])
+            h = int(shingles.token_hashes(p, n, np.ones(len(p), np.uint8))[0][0])
+            marks[h] = marks.get(h, 0) | 1 << i
+    at = sorted(marks)
+    return np.array(at, np.uint64), np.array([marks[h] for h in at], np.int64)
+
+
+_WORD_HASHES, _WORD_LANGUAGES = _function_words()
+
+
+def _clauses(p: np.ndarray, lengths: np.ndarray, found: tuple, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The masked clauses of texts: hash and text number of each, and token hashes, clause and place in the clause of their tokens.
+
+    ``found`` are the tokens of the texts, ``taken`` says which the question has
+    as well (two in the same order at least); a run of such tokens is one mask.
+    """
+    h, place, sizes = found
+    doc = np.repeat(np.arange(len(lengths)), sizes)
+    clause = np.cumsum(_stops(p, lengths, _CLAUSE_MARKS))[place]
+    new = shingles.distinct(clause) | shingles.distinct(doc)
+    h = np.where(taken, _TAKEN, np.where(p[place] - np.uint32(48) < 10, _NUMBER, h))
+    keep = new | ~taken | ~np.concatenate(([False], taken[:-1]))[: len(h)]
+    number = (np.cumsum(new) - 1)[keep]
+    h, begins = h[keep], np.flatnonzero(new[keep])
+    if not len(begins):
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), empty, h, empty, empty
+    nth = np.arange(len(h)) - begins[number]
+    whole = np.add.reduceat(shingles.mix(h + (nth + 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begins)
+    return shingles.mix(whole), doc[new], h, number, nth
 
-def _context(text: str) -> int | None:
-    """The last three tokens of the unfinished sentence, numbers masked, a mark where it begins; None without any."""
-    found = _TOKEN_END.findall(_BREAK.split(text)[-1].lower())
-    if not found:
-        return None
-    h = [np.uint64(shingles.xxhash.xxh64_intdigest("0" if m[0].isdigit() else m)) for m in found[-3:] if not _END.match(m)]
-    if not h:
-        return None
-    h = [_MARK] * (3 - len(h)) + h
-    with np.errstate(over="ignore"):
-        return int(_context_hash(*(np.array([x]) for x in h))[0].view(np.int64))
 
+_SEEN = "row bigint, pair_id bigint, field string, defect string, declined boolean, opens boolean, advice int, question bigint, clauses array<bigint>, opening bigint, shingles array<bigint>, tail bigint"
 
-_SEEN = "pair_id bigint, field string, defect string, declined boolean, short boolean, opening string, question bigint, tail bigint"
+
+def _lists(values: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))), pa.int32()), pa.array(values.view(np.int64)))
 
 
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = shingles.TokenHashes()
+    rng = np.random.default_rng()  # names rows only; the table is written once
     for batch in batches:
         for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            ids, questions = part.column(0).to_pylist(), part.column(1).to_pylist()
-            asked = [shingles.tokens(q) for q in questions]
-            salt = shingles.mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(7))
-            hq, doc, _ = shingles.windows(hasher(asked), np.array([len(x) for x in asked], np.int64), 3)
-            keys_q = hq ^ salt[doc]
-            nq = np.bincount(doc, minlength=len(ids))
-            identity = [int(np.uint64(shingles.xxhash.xxh64_intdigest(q or "")).view(np.int64)) for q in questions]
-            rows: list[tuple] = []
+            questions, n = part.column(1).to_pylist(), part.num_rows
+            salt = shingles.mix(np.arange(n, dtype=np.uint64) + np.uint64(7))
+            pq = shingles.points(questions)
+            hq, _, nq = shingles.token_hashes(*pq)
+            asked = [shingles.windows(hq, nq, w) for w in (3, 2)]
+            asked = [h ^ salt[doc] for h, doc, _ in asked]
+            theirs = _languages(*pq)
+            texts_q = shingles.set_identity(hq, nq)
+            identity = pa.array(shingles.mix(texts_q).view(np.int64))
             for column, field in ((2, "response_chosen"), (3, "response_rejected")):
                 answers = part.column(column).to_pylist()
-                given = [shingles.tokens(a) for a in answers]
-                ha, doc, _ = shingles.windows(hasher(given), np.array([len(x) for x in given], np.int64), 3)
-                na = np.bincount(doc, minlength=len(ids))
-                shared = np.bincount(doc, weights=np.isin(ha ^ salt[doc], keys_q), minlength=len(ids)) / np.maximum(na, 1)
-                for i, (q, a) in enumerate(zip(questions, answers)):
-                    if a is None or len(given[i]) <= 4 and is_empty(a):
-                        rows.append((ids[i], field, "empty", False, True, None, None, None))
+                given = shingles.points(answers)
+                found = shingles.token_hashes(*given)
+                h, _, na = found
+                own = _languages(*given)
+                three, doc, _ = shingles.windows(h, na, 3)
+                count = np.bincount(doc, minlength=n)
+                shared = np.bincount(doc, weights=shingles.held(three ^ salt[doc], asked[0]), minlength=n) / np.maximum(count, 1)
+                two, doc, at = shingles.windows(h, na, 2)
+                begin = np.cumsum(na) - na
+                both = (begin[doc] + at)[shingles.held(two ^ salt[doc], asked[1])]
+                taken = np.zeros(len(h), bool)
+                taken[both] = taken[both + 1] = True
+                clauses, of, tokens, number, nth = _clauses(*given, found, taken)
+                # the first clause of OPENING_WIDTH tokens
+                long = np.bincount(number, minlength=len(clauses)) >= OPENING_WIDTH
+                first = np.flatnonzero(long)[shingles.distinct(of[long])]
+                five, five_doc, _ = shingles.windows(tokens[chosen := np.isin(number, first)], np.bincount(of[number[chosen]], minlength=n), OPENING_WIDTH)
+                opening = shingles.set_identity(five, np.bincount(five_doc, minlength=n)).view(np.int64)
+                same = (shingles.set_identity(h, na) == texts_q) & (na == nq) & (na > 0)
+                defects, tails, upto = [None] * n, [None] * n, {}
+                declined = [(False, False, 0)] * n
+                for i, a in enumerate(answers):
+                    q = questions[i]
+                    if a is None or _may_be_empty(a, na[i]) and is_empty(a):
+                        defects[i] = "empty"
+                        continue
+                    if q and nq[i] and (count[i] and shared[i] >= COPY_SHARE or same[i]):
+                        defects[i] = "copy"
                         continue
-                    tokens = given[i]
-                    short = len(tokens) <= SHORT_TOKENS
-                    declined = declines(a, len(tokens))
-                    defect = tail = None
-                    if declined:
-                        defect = "refusal"
-                    elif q and asked[i] and ((na[i] and nq[i] and shared[i] >= COPY_SHARE) or (tokens == asked[i])):
-                        defect = "copy"
-                    else:
-                        own, theirs = language(tokens), language(asked[i])
-                        if own and theirs and own != theirs and not any(own == code and p.search(q) for code, p in ASKS):
-                            defect = "language"
-                        else:
-                            how, upto = ending(a)
-                            if how == "broken":
-                                defect = "truncated"
-                            elif how == "open":
-                                tail = _context(upto)
-                                if tail is None:
-                                    defect = "truncated"
-                    opening = " ".join("0" if t[0].isdigit() else t for t in tokens[:OPENING_TOKENS]) if short else None
-                    rows.append((ids[i], field, defect, declined, short, opening, identity[i], tail))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64()))], names=["pair_id", "field", "defect", "declined", "short", "opening", "question", "tail"])
+                    declined[i] = declines(a)
+                    if own[i] and theirs[i] and own[i] != theirs[i] and not any(LANGUAGES[own[i] - 1] == code and pattern.search(q) for code, pattern in ASKS):
+                        defects[i] = "language"
+                        continue
+                    how, rest = ending(a)
+                    if how == "broken":
+                        defects[i] = "truncated"
+                    elif how == "open":
+                        upto[i] = rest
+                for i, tail in zip(upto, _unfinished(list(upto.values()))):
+                    tails[i] = tail
+                    if tail is None:
+                        defects[i] = "truncated"
+                has = [x not in ("empty", "copy") for x in defects]
+                seen = np.array(has, bool)
+                use, use5 = seen[of], seen[five_doc]
+                some = np.bincount(five_doc, minlength=n) > 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rng.integers(-(1 << 63), (1 << 63) - 1, n)), part.column(0), pa.array([field] * n), pa.array(defects, pa.string()), pa.array([d[0] for d in declined]), pa.array([d[1] for d in declined]), pa.array([d[2] for d in declined], pa.int32()),
+                        identity, _lists(clauses[use], of[use], n), pa.array(opening, mask=~(seen & some)), _lists(five[use5], five_doc[use5], n), pa.array(tails, pa.int64()),
+                    ],
+                    names=["row", "pair_id", "field", "defect", "declined", "opens", "advice", "question", "clauses", "opening", "shingles", "tail"],
+                )
 
 
 def _count_contexts(bits: int, shared) -> object:
@@ -177,60 +330,87 @@ def _count_contexts(bits: int, shared) -> object:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
-        known: dict[str, int] = {}
-        number = shingles.xxhash.xxh64_intdigest
-        end = np.uint64(1)  # no token hashes to it in practice
         for batch in batches:
-            stream: list[int] = []
-            for text in (t for column in (0, 1) for t in batch.column(column).to_pylist() if t):
-                for token in _TOKEN_END.findall(text.lower()):
-                    h = known.get(token)
-                    if h is None:
-                        h = 1 if _END.match(token) else number("0" if token[0].isdigit() else token)
-                        if len(known) < 500_000:
-                            known[token] = h
-                    stream.append(h)
-                stream.append(1)
-            h = np.array([1, 1, *stream, 1], np.uint64)
-            stop = h == end
-            now = np.flatnonzero(~stop)
-            if not len(now):
-                continue
-            b = np.where(stop[now - 1], _MARK, h[now - 1])
-            a = np.where(stop[now - 1] | stop[now - 2], _MARK, h[now - 2])
-            context = _context_hash(a, b, h[now])
-            place = context & np.uint64(bits - 1)
-            use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-            keys, back, n = np.unique(context[use], return_inverse=True, return_counts=True)
-            ends = np.bincount(back, weights=stop[now[use] + 1], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(ends)], names=["tail", "n", "ends"])
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                for column in (0, 1):
+                    context, ends, _ = contexts(part.column(column).to_pylist())
+                    place = context & np.uint64(bits - 1)
+                    use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(context[use].view(np.int64)), pa.array(ends[use])], names=["tail", "ends"])
 
     return count
 
 
-def refusal_openings(seen: DataFrame, *, similarity: float = 0.6, least_questions: int = 5, short_share: float = 0.5) -> DataFrame:
-    """``opening`` of the short answers whose cluster is a refusal template.
+def _recurring(exploded: DataFrame, key: str, refuses: str) -> DataFrame:
+    """``key, n, refusing`` of what stands under LEAST_QUESTIONS different questions at least.
 
-    Equal openings are counted first; distinct ones are joined by MinHash bands
-    and kept together where their exact similarity reaches ``similarity``.
+    Questions are told apart by 64 marks: as many marks are as many questions at least.
     """
-    kinds = seen.where("opening is not null").groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.count_if("declined").alias("n_declined"), F.approx_count_distinct("question").alias("questions"))
-    kinds = durable(kinds.withColumn("id", F.xxhash64("opening")))
-    texts = kinds.select("id", F.col("opening").alias("text"))
-    sketched = durable(neardup.sketches(texts, width=2, bands=12, rows=2))
-    edges = neardup.similar_sets(texts, sketched, similarity=similarity, width=2, bands=12, rows=2)
-    parts = connected_components(edges).withColumnRenamed("node", "set_id")
-    clusters = sketched.select("id", "set_id").join(parts, "set_id", "left").select("id", F.coalesce("component", "set_id").alias("cluster"))
-    members = kinds.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    of = members.groupBy("cluster").agg(F.sum("n").alias("all"), F.sum("n_declined").alias("declined"), F.sum("questions").alias("questions"))
-    templates = of.where((F.col("questions") >= least_questions) & (F.col("declined") >= short_share * F.col("all"))).select("cluster")
-    return members.join(templates, "cluster").select("opening")
+    marks = F.bit_or(F.expr("shiftleft(1L, cast(question & 63 as int))"))
+    counted = exploded.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(refuses).alias("refusing"), F.bit_count(marks).alias("questions"))
+    return counted.where((F.col("questions") >= LEAST_QUESTIONS) & (F.col("n") >= LEAST_QUESTIONS)).select(key, "n", "refusing")
+
+
+def _clause_counts(clauses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``clause, refuses`` of the recurring clauses of the answers in ``evidence`` (``row``)."""
+    marked = clauses.join(evidence.select("row", F.lit(True).alias("evident")), "row", "left").withColumn("evident", F.coalesce("evident", F.lit(False)))
+    wanted = marked.where("evident").select("clause").distinct()
+    found = _recurring(marked.join(wanted, "clause", "left_semi"), "clause", "evident")
+    return found.select("clause", (F.col("refusing") >= DECLINED_SHARE * F.col("n")).alias("refuses"))
+
+
+def _openings(seen: DataFrame, evidence: DataFrame, *, bands: int = 12, rows: int = 3) -> DataFrame:
+    """``opening`` of the openings whose cluster is a refusal template.
+
+    The openings of answers in ``evidence`` are points; the cluster of one holds
+    every opening of a similarity of OPENING_SIMILARITY to it. Openings share a
+    shard of minimum hashes, and their shingles are compared exactly.
+    """
+    marked = seen.where("opening is not null").join(evidence.select("row", F.lit(True).alias("evident")), "row", "left")
+    kinds = marked.groupBy("opening").agg(F.any_value("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"), F.count_if("evident").alias("refusing"), F.bit_or(F.expr("shiftleft(1L, cast(question & 63 as int))")).alias("marks"))
+    kinds = durable(kinds)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            h, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+            keys = neardup.band_keys(shingles.minhashes(h, sizes, bands * rows), bands, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(keys.reshape(-1).view(np.int64))], names=["opening", "shard"])
+
+    placed = kinds.select("opening", "shingles").mapInArrow(shards, "opening bigint, shard bigint")
+    points = kinds.where("refusing > 0").select(F.col("opening").alias("point"), F.col("shingles").alias("own"))
+    at = placed.join(points.select(F.col("point").alias("opening")), "opening", "left_semi").select(F.col("opening").alias("point"), "shard")
+    near = placed.join(at, "shard").select("point", "opening").distinct().join(points, "point").join(kinds, "opening")
+    common = F.size(F.array_intersect("own", "shingles"))
+    near = near.where(common >= OPENING_SIMILARITY * (F.size(F.array_distinct("own")) + F.size(F.array_distinct("shingles")) - common))
+    clusters = near.groupBy("point").agg(F.sum("n").alias("n"), F.sum("refusing").alias("refusing"), F.bit_count(F.bit_or("marks")).alias("questions"), F.collect_set("opening").alias("openings"))
+    templates = clusters.where((F.col("questions") >= LEAST_QUESTIONS) & (F.col("refusing") >= DECLINED_SHARE * F.col("n")))
+    return templates.select(F.explode("openings").alias("opening")).distinct()
+
+
+def refusals(seen: DataFrame) -> DataFrame:
+    """``row`` of the answers that decline and give no advice."""
+    rows = seen.where("size(clauses) > 0")
+    clauses = rows.select("row", "question", F.explode(F.array_distinct("clauses")).alias("clause"))
+    declined = rows.where("declined").select("row")
+    sure = _clause_counts(clauses, declined).where("refuses").select("clause")
+    linked = clauses.join(sure, "clause").groupBy("row").agg(F.count(F.lit(1)).alias("r"))
+    linked = linked.join(rows.select("row", F.size(F.array_distinct("clauses")).alias("size")), "row").where("3 * r >= size").select("row")
+    evidence = durable(declined.unionByName(linked).distinct())
+    known = durable(_clause_counts(clauses, evidence))
+    templates = _openings(rows, evidence).withColumn("template", F.lit(1))
+    told = clauses.join(known, "clause").groupBy("row").agg(F.count_if("refuses").alias("r"), F.count_if(~F.col("refuses")).alias("o"))
+    judged = rows.join(templates, "opening", "left").join(told, "row", "left").where("declined or template is not null or r > 0")
+    r, o, t, size = (F.coalesce(c, F.lit(0)) for c in (F.col("r"), F.col("o"), F.col("template"), F.size(F.array_distinct("clauses"))))
+    says = F.greatest(r, F.lit(1))  # the wording that declines is at least one clause of it
+    opened = F.col("opens") & (o + F.col("advice") <= says)
+    return judged.where(F.when(F.col("declined"), opened | (2 * says >= size)).otherwise(2 * F.greatest(r, t) >= size)).select("row")
 
 
 def found(pairs: DataFrame) -> DataFrame:
     """``pair_id, field, defect``: one row for each answer that is no usable answer.
 
-    Of several defects the first of empty, refusal, copy, language, truncated
+    Of several defects the first of empty, copy, refusal, language, truncated
     counts. A null or blank question excludes copy and language only. Rows with a
     null ``pair_id`` are looked at like others; an empty table gives no row.
     """
@@ -239,16 +419,16 @@ def found(pairs: DataFrame) -> DataFrame:
     asked = seen.where("defect is null and tail is not null")
     bits, table = neardup._filter(asked, "tail")
     shared = pairs.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
-    contexts = pairs.select("response_chosen", "response_rejected").mapInArrow(_count_contexts(bits, shared), "tail bigint, n bigint, ends bigint").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    contexts_ = pairs.select("response_chosen", "response_rejected").mapInArrow(_count_contexts(bits, shared), "tail bigint, ends boolean").groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("ends"))
     own = asked.groupBy("tail").agg(F.count(F.lit(1)).alias("own"))
     # a context counts as an end where it ends a sentence elsewhere, the undecided answers left out
-    ends = contexts.join(own, "tail").withColumn("share", (F.col("ends") - F.col("own")) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))
+    ends = contexts_.join(own, "tail").withColumn("share", (F.col("ends") - F.col("own")) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))
     closing = ends.where(F.col("share") >= ENDS_SHARE).select("tail", F.lit(True).alias("closes"))
-    templates = refusal_openings(seen).distinct().withColumn("template", F.lit(True))
-    out = seen.join(closing, "tail", "left").join(templates, "opening", "left")
+    refused = refusals(seen).distinct().withColumn("refused", F.lit(True))
+    out = seen.join(closing, "tail", "left").join(refused, "row", "left")
     kind = (
-        F.when(F.col("defect").isin("empty", "refusal"), F.col("defect"))
-        .when(F.col("template") & F.col("short") & F.coalesce(F.col("defect") != "copy", F.lit(True)), "refusal")
+        F.when(F.col("defect").isin("empty", "copy"), F.col("defect"))
+        .when(F.col("refused"), "refusal")
         .when(F.col("defect").isNotNull(), F.col("defect"))
         .when(F.col("tail").isNotNull() & F.col("closes").isNull(), "truncated")
     )

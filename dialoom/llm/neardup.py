@@ -35,21 +35,26 @@ def pair_text() -> Column:
     return F.concat(F.coalesce(F.col("question"), F.lit("")), F.lit("\n"), F.coalesce(F.col("response_chosen"), F.lit("")))
 
 
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One number for each run of ``rows`` minimum hashes (one row a set): equal where the runs are."""
+    key = np.zeros((len(low), bands), np.uint64)
+    for r in range(rows):
+        key = shingles.mix(key ^ low[:, r::rows] + np.arange(1, bands + 1, dtype=np.uint64))
+    return key
+
+
 def sketches(texts: DataFrame, *, width: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``id, set_id, f0, f1, f2, bands`` of every text (``id``, ``text``) with at least one shingle; ``f0..f2`` is the fingerprint."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = shingles.TokenHashes()
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                h, sizes = shingles.sets([shingles.tokens(t) for t in part.column(1).to_pylist()], hasher, width)
+                h, sizes = shingles.sets(part.column(1).to_pylist(), width)
                 has = sizes > 0
                 sizes = sizes[has]
                 low = shingles.minhashes(h, sizes, bands * rows)
                 words = shingles.fingerprint(low).view(np.int64)
-                key = np.zeros((len(sizes), bands), np.uint64)
-                for r in range(rows):
-                    key = shingles.mix(key ^ low[:, r::rows] + np.arange(1, bands + 1, dtype=np.uint64))
+                key = band_keys(low, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
                 ids = part.column(0).filter(pa.array(has))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.set_identity(h, sizes).view(np.int64)), *[pa.array(words[:, i]) for i in range(3)], lists], names=["id", "set_id", "f0", "f1", "f2", "bands"])
@@ -137,10 +142,10 @@ def shingle_sets(texts: DataFrame, wanted: tuple, *, width: int = 3) -> DataFram
     shared = texts.sparkSession.sparkContext.broadcast(table)  # at most FILTER_BITS / 8 bytes
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks = shingles.TokenHashes(), shared.value
+        marks = shared.value
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                h, sizes = shingles.sets([shingles.tokens(t) for t in part.column(0).to_pylist()], hasher, width)
+                h, sizes = shingles.sets(part.column(0).to_pylist(), width)
                 ids = shingles.set_identity(h, sizes)
                 place = ids & np.uint64(bits - 1)
                 keep = (sizes > 0) & ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)

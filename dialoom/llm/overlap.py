@@ -51,12 +51,10 @@ def offered_lengths(n: np.ndarray, similarity: float) -> dict[int, np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], column: int):
-    hasher = shingles.TokenHashes()
     for batch in batches:
         for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-            found = [shingles.tokens(t) for t in part.column(column).to_pylist()]
-            h, sizes = shingles.sets(found, hasher)
-            yield part, found, hasher, h, sizes
+            h, sizes = shingles.sets(part.column(column).to_pylist())
+            yield part, h, sizes
 
 
 def prefix(h: np.ndarray, sizes: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +68,10 @@ def prefix(h: np.ndarray, sizes: np.ndarray, similarity: float, common: np.ndarr
 
 def _common(texts: DataFrame) -> np.ndarray:
     """Rough counts of shingles in a few texts; they only order shingles, so any counts give the same pairs."""
-    found = [shingles.tokens(r[0]) for r in texts.select("text").limit(COUNTED).collect()]
-    out, hasher = np.zeros(BUCKETS, np.int32), shingles.TokenHashes()
+    found = [r[0] for r in texts.select("text").limit(COUNTED).collect()]
+    out = np.zeros(BUCKETS, np.int32)
     for i in range(0, len(found), 2048):
-        h, _ = shingles.sets(found[i : i + 2048], hasher)
+        h, _ = shingles.sets(found[i : i + 2048])
         out += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
     return out
 
@@ -82,9 +80,9 @@ def _prefixes(similarity: float, common, wanted=None):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, marks = (wanted[0], wanted[1].value) if wanted else (0, None)
         seen: set[int] = set()
-        for _, found, _, h, sizes in _rows(batches, 0):
+        for _, h, sizes in _rows(batches, 0):
             ids = shingles.set_identity(h, sizes)
-            fresh = np.zeros(len(found), bool)
+            fresh = np.zeros(len(sizes), bool)
             for i in np.flatnonzero(sizes):
                 if (one := int(ids[i])) not in seen:
                     fresh[i] = True
@@ -112,7 +110,7 @@ def _set_ids(rows: DataFrame) -> DataFrame:
     """``id, set_id`` of the texts with a shingle."""
 
     def ids(batches):
-        for part, _, _, h, sizes in _rows(batches, 1):
+        for part, h, sizes in _rows(batches, 1):
             has = sizes > 0
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(has)), pa.array(shingles.set_identity(h, sizes)[has].view(np.int64))], names=["id", "set_id"])
 

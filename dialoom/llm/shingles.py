@@ -30,25 +30,54 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-class TokenHashes:
-    """64-bit hashes of tokens; those of one character are computed, words are remembered up to a bound."""
-
-    def __init__(self, most: int = 200_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, found: list[list[str]]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for words in found:
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w)
-                out.append(h)
-        return np.array(out, np.uint64)
+def points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after another, lower-cased as far as tokens go, and how many each text has."""
+    whole = [t or "" for t in texts]
+    joined = "".join(whole)
+    if "\u0130" in joined or "\u212a" in joined:  # the only others whose lower case has letters of a-z
+        whole = [t.lower() for t in whole]
+        joined = "".join(whole)
+    p = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(p - np.uint32(65) < 26, p | np.uint32(32), p), np.fromiter(map(len, whole), np.int64, len(whole))
+
+
+#: Kinds of characters: those below SINGLE stand in runs of their kind, each other is a token by itself, 0 separates.
+WORD, SINGLE = 1, 128
+
+
+def kinds(p: np.ndarray) -> np.ndarray:
+    """The kinds behind :func:`tokens`."""
+    return ((p - np.uint32(97) < 26) | (p - np.uint32(48) < 10)) * np.uint8(WORD) | (p - np.uint32(0x4E00) < 0x5200) * np.uint8(SINGLE)
+
+
+def token_hashes(p: np.ndarray, lengths: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash and first place of every token of what :func:`points` gives, and how many tokens each text has."""
+    kind = kinds(p) if kind is None else kind
+    first = np.cumsum(lengths) - lengths
+    goes_on = np.zeros(len(p), bool)
+    goes_on[1:] = (kind[1:] == kind[:-1]) & (kind[1:] < SINGLE)
+    goes_on[first[lengths > 0]] = False
+    at = np.flatnonzero(kind)
+    begins = np.flatnonzero(~goes_on[at])
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+    place = at[begins]
+    offset = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))  # the characters of a token stand together
+    z = (p[at].astype(np.uint64) + np.uint64(1)) * _ODD[0] + offset.view(np.uint64) * _ODD[1]
+    z = (z ^ (z >> np.uint64(32))) * _ODD[2]
+    h = np.add.reduceat(z ^ (z >> np.uint64(29)), begins)
+    return h, place, np.diff(np.searchsorted(place, first), append=len(place))
+
+
+def tokenized(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of all texts one after another, and how many tokens each text has."""
+    h, _, sizes = token_hashes(*points(texts))
+    return h, sizes
+
+
+def distinct(sorted_keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys differ from the one before."""
+    return np.concatenate((np.ones(min(len(sorted_keys), 1), bool), sorted_keys[1:] != sorted_keys[:-1]))
 
 
 def windows(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,12 +94,13 @@ def windows(hashes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarr
     return h[at], doc[at], at - begin[at]
 
 
-def sets(found: list[list[str]], hasher: TokenHashes, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def sets(texts: list[str | None], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of at most 2,048 texts, in order within each, and how many each text has."""
-    sizes = np.array([len(x) for x in found], np.int64)
-    h, doc, _ = windows(hasher(found), sizes, width)
-    key = np.unique((doc.astype(np.uint64) << np.uint64(53)) | (h >> np.uint64(11)))
-    return mix(key & np.uint64((1 << 53) - 1)), np.bincount((key >> np.uint64(53)).astype(np.int64), minlength=len(found))
+    hashes, sizes = tokenized(texts)
+    h, doc, _ = windows(hashes, sizes, width)
+    key = np.sort((doc.astype(np.uint64) << np.uint64(53)) | (h >> np.uint64(11)))
+    key = key[distinct(key)]
+    return mix(key & np.uint64((1 << 53) - 1)), np.bincount((key >> np.uint64(53)).astype(np.int64), minlength=len(texts))
 
 
 def set_identity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -107,3 +137,15 @@ def radius(count: int, similarity: float, bits: int = 2, deviations: float = 4.0
     d = 1 - similarity
     variance = d * (bits / 4 + bits * bits / 4) - (d * bits / 2) ** 2
     return int(count * d * bits / 2 + deviations * (count * variance) ** 0.5)
+
+
+def held(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of the numbers ``wanted`` are ``among`` others."""
+    out = np.zeros(len(wanted), bool)
+    if len(among):
+        mark = np.zeros(1 << 20, bool)
+        mark[among >> np.uint64(44)] = True
+        maybe = np.flatnonzero(mark[wanted >> np.uint64(44)])
+        among = np.sort(among)
+        out[maybe] = among[np.minimum(np.searchsorted(among, wanted[maybe]), len(among) - 1)] == wanted[maybe]
+    return out
