@@ -7,8 +7,8 @@ stays; the report names the targets missed. The order is a Pfair schedule: a
 source's stream of tokens is cut into blocks, block i of a source with share u
 is released at floor((i - 1) / u) and due at ceil(i / u) block times, and the
 released block with the earliest deadline goes first, so no source is ever a
-block away from its share. The schedule repeats after ``FRAME`` blocks, so its
-table has that size for any number of documents.
+block away from its share. Shares are exact, and the schedule covers the whole
+mixture: blocks grow with it where there would be more than ``FRAME`` of them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ from dialoom.llm.tokens import token_counts
 from dialoom.operators.prefix import running_offsets
 from dialoom.session import durable
 
-#: Blocks after which the schedule repeats; shares are rounded to this fineness for the order only.
-FRAME = 10_000
-#: Tokens of a block.
+#: Most blocks of a mixture (besides one unfinished block a source).
+FRAME = 1 << 18
+#: Least tokens of a block.
 BLOCK_TOKENS = 4096
+#: The schedule is made on the driver, so targets have a bound.
 MAX_SOURCES = 5_000
 
 
@@ -57,42 +59,24 @@ def parts(sources: list[tuple[str, float, int, int]], total: int | None = None)
     return total, given
 
 
-def schedule(shares: dict[str, int], frame: int) -> list[str]:
-    """The source of each slot of a frame; ``shares`` are whole slots that sum to ``frame``."""
+def schedule(shares: dict[str, int], block: int = 1) -> list[tuple[str, int]]:
+    """The source and the number (from 0) of each block in order; ``shares`` are the tokens of each source, cut into blocks of ``block`` tokens."""
+    total = sum(shares.values())
     released: list[tuple[int, str, int]] = []
     waiting = [(0, n, 1) for n, k in sorted(shares.items()) if k]
     heapq.heapify(waiting)
     out = []
-    for slot in range(frame):
-        while waiting and waiting[0][0] <= slot:
+    while waiting or released:
+        while waiting and (waiting[0][0] <= len(out) or not released):
             _, n, i = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-i * frame // shares[n]), n, i))
+            heapq.heappush(released, (-(-i * total // shares[n]), n, i))
         _, n, i = heapq.heappop(released)
-        out.append(n)
-        if i < shares[n]:
-            heapq.heappush(waiting, (i * frame // shares[n], n, i + 1))
+        out.append((n, i - 1))
+        if i * block < shares[n]:
+            heapq.heappush(waiting, (i * total // shares[n], n, i + 1))
     return out
 
 
-def frame_shares(given: dict[str, int], frame: int) -> dict[str, int]:
-    """Slots of each source in a frame by largest remainder, at least one for a source with tokens."""
-    total = sum(given.values())
-    if not total:
-        return {}
-    exact = {n: Fraction(g * frame, total) for n, g in given.items() if g > 0}
-    slots = {n: max(1, int(x)) for n, x in exact.items()}
-    by_rest = sorted(exact, key=lambda n: (slots[n] - exact[n], n))
-    i = 0
-    while (gap := frame - sum(slots.values())) > 0:
-        slots[by_rest[i % len(by_rest)]] += 1
-        i += 1
-    while gap < 0:
-        n = max(slots, key=lambda n: (slots[n], n))
-        slots[n] -= 1
-        gap += 1
-    return slots
-
-
 def _plan(documents: DataFrame, targets: DataFrame, total: int | None, path: str | None):
     counted = documents.where("source is not null and doc_id is not null").select("doc_id", name_key(F.col("source")).alias("source"), F.col("text"))
     t = targets.where("source is not null and target_weight > 0 and not isnan(target_weight)").groupBy(name_key(F.col("source")).alias("source")).agg(F.max("target_weight").alias("w"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("r"))
@@ -124,23 +108,18 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total: int | None = Non
     """
     spark = documents.sparkSession
     sized, weights, have, _, given = _plan(documents, targets, total, path)
-    shares = frame_shares(given, frame)
-    nth: dict[str, int] = {}
-    slots = []
-    for slot, n in enumerate(schedule(shares, frame) if shares else []):
-        slots.append((n, nth.get(n, 0), slot))
-        nth[n] = nth.get(n, 0) + 1
-    table = spark.createDataFrame(slots, "source string, _nth long, _slot long")
-    plan = spark.createDataFrame([(n, have[n][0], given[n], r, shares[n]) for n, _, t, r in weights if given[n] > 0], "source string, _have long, _part long, _most int, _share long")
+    block = max(block, -(-sum(given.values()) // frame))
+    order_of = schedule(given, block)
+    names, nth = zip(*order_of) if order_of else ((), ())
+    table = spark.createDataFrame(pa.table({"source": pa.array(names, pa.string()), "_block": pa.array(nth, pa.int64()), "slot": pa.array(range(len(order_of)), pa.int64())}))
+    plan = spark.createDataFrame([(n, have[n][0], given[n], r) for n, _, t, r in weights if given[n] > 0], "source string, _have long, _part long, _most int")
     order = F.xxhash64("doc_id", F.lit(seed))
     placed = running_offsets(sized.where("n_tokens > 0"), ["source"], order, "n_tokens", tie="doc_id").join(F.broadcast(plan), "source")  # one row a target source
     # pass p puts a document at p times the source's size: the passes follow each other in the same order
     last = F.least(F.col("_most") - 1, F.floor(_room() / F.col("_have")).cast("int"))
     passes = placed.where(_room() >= 0).withColumn("repeat", F.explode(F.sequence(F.lit(0), last)))
-    passes = passes.withColumn("offset", F.col("offset") + F.col("repeat") * F.col("_have")).withColumn("_block", F.floor(F.col("offset") / block))
-    passes = passes.withColumn("_nth", F.col("_block") % F.col("_share")).withColumn("_frame", F.floor(F.col("_block") / F.col("_share")))
-    out = passes.join(F.broadcast(table), ["source", "_nth"])  # FRAME rows
-    return out.select((F.col("_frame") * frame + F.col("_slot")).alias("slot"), "source", "doc_id", "repeat", "offset", "n_tokens")
+    passes = passes.withColumn("offset", F.col("offset") + F.col("repeat") * F.col("_have")).withColumn("_block", F.expr(f"offset div {block}"))
+    return passes.join(F.broadcast(table), ["source", "_block"]).select("slot", "source", "doc_id", "repeat", "offset", "n_tokens")  # FRAME + MAX_SOURCES rows
 
 
 def shares(documents: DataFrame, targets: DataFrame, *, total: int | None = None, path: str | None = None) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-from fractions import Fraction
 
 import pytest
 from conftest import same
@@ -68,18 +67,53 @@ def test_cutoffs_with_ties_and_odd_scores(spark):
     assert cutoff.kept(records(spark, []), t).count() == 0 and cutoff.kept(records(spark, rows), t.limit(0)).count() == 0
 
 
+def within_a_block(given, block):
+    """Blocks given so far against exact shares, as long as every source has whole blocks left to give."""
+    total, order = sum(given.values()), mixture.schedule(given, block)
+    seen = dict.fromkeys(given, 0)
+    for t, (n, i) in enumerate(order, 1):
+        assert i == seen[n]
+        seen[n] += 1
+        if t <= total // block:
+            assert all(abs(given[k] * t - seen[k] * total) < total for k in given)
+    assert seen == {k: -(-v // block) for k, v in given.items()}
+
+
 def test_schedule_stays_within_a_block():
     rng = random.Random(4)
     for _ in range(20):
-        given = {f"s{i}": rng.randrange(1, 10 ** rng.randrange(1, 6)) for i in range(rng.randrange(1, 9))}
-        frame = 1000
-        slots = mixture.frame_shares(given, frame)
-        assert sum(slots.values()) == frame
-        seen = dict.fromkeys(slots, 0)
-        for t, n in enumerate(mixture.schedule(slots, frame), 1):
-            seen[n] += 1
-            assert all(abs(Fraction(slots[k] * t, frame) - seen[k]) < 1 for k in slots)
-        assert seen == slots
+        within_a_block({f"s{i}": rng.randrange(1, 10 ** rng.randrange(1, 6)) for i in range(rng.randrange(1, 9))}, rng.choice([1, 7, 64]))
+    assert mixture.schedule({}) == []
+
+
+def test_schedule_of_equal_sources_never_drifts():
+    within_a_block({"a": 333_350 * 3, "b": 333_350 * 3, "c": 333_300 * 3}, 10)
+    within_a_block({"a": 200_001, "b": 3, "c": 1}, 2)
+
+
+@pytest.mark.parametrize("priorities", [[0.0], [1e-3], [1e6], [0.0, -5.0], [1e-300, 1e300, float("inf")]])
+def test_reservoirs_of_odd_priorities_are_uniform(spark, priorities):
+    rows = [(i, f"p{i:05d}", "d", ["a"], priorities[i % len(priorities)]) for i in range(4000)]
+    got = proportions.sample(candidates(spark, rows), targets(spark, [("a", "d", 0, 1000)])).collect()
+    assert len({r["prompt_id"] for r in got}) == 1000 and len({r["reservoir_key"] for r in got}) == 1000
+    if len(priorities) == 3:
+        assert {r["priority_score"] for r in got} == {float("inf"), 1e300}
+    else:  # no matter where the identifiers stand
+        assert 350 < sum(r["prompt_id"] < "p02000" for r in got) < 650
+
+
+def test_high_priorities_come_before_none(spark):
+    rows = [(i, f"p{i:05d}", "d", ["a"], 2.0 if i % 4 == 0 else 0.0) for i in range(4000)]
+    got = proportions.sample(candidates(spark, rows), targets(spark, [("a", "d", 0, 1200)])).collect()
+    assert sum(r["priority_score"] == 2.0 for r in got) == 1000 and len(got) == 1200
+
+
+def test_more_cells_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, f"p{i}", f"d{i % 7}", [f"t{i % 5}"], 1.0 + i % 3) for i in range(700)]
+    t = targets(spark, [(f"t{i}", f"d{j}", 20, 3) for i in range(5) for j in range(7)])
+    whole = sorted(map(tuple, proportions.sample(candidates(spark, rows), t).collect()))
+    monkeypatch.setattr(proportions, "MAX_CELLS", 3)
+    assert sorted(map(tuple, proportions.sample(candidates(spark, rows), t).collect())) == whole and len(whole) == 105
 
 
 def test_parts_share_what_others_lack():
