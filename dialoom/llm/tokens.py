@@ -55,6 +55,12 @@ def load_merges(path: str) -> dict[str, np.ndarray]:
     return {"byte_ids": byte_ids, "left": left, "right": right, "merged": merged, "size": np.int64(max(vocab.values()) + 1)}
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once (numpy's own function hashes first, which takes many times as long)."""
+    x.sort()
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 class PairMerges:
     """Encodes blocks of words with the tables of :func:`load_merges`."""
 
@@ -111,7 +117,7 @@ class PairMerges:
         while heap:
             rank = heapq.heappop(heap)
             parts = index.pop(rank)
-            p = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            p = parts[0] if len(parts) == 1 else _once(np.concatenate(parts))
             a, b = self.left[rank], self.right[rank]
             q = after[p]
             live = (symbol[p] == a) & (symbol[q] == b)
@@ -132,9 +138,8 @@ class PairMerges:
             after[p] = nn
             before[nn] = p
             pp = before[p]
-            places = np.concatenate((pp[pp != n], p[nn != n]))
-            if len(places):
-                enter(np.unique(places), self._search(symbol[u := np.unique(places)], symbol[after[u]]))
+            places = _once(np.concatenate((pp[pp != n], p[nn != n])))
+            enter(places, self._search(symbol[places], symbol[after[places]]))
         keep = symbol[:n] >= 0
         counts = np.zeros(len(words), np.int64)
         kept = np.concatenate(([0], np.cumsum(keep)))
