@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.session import durable
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in ``order`` (which must be total). Rows are ranked before the shuffle too, so a hot key sends one row a task."""
@@ -24,7 +26,12 @@ def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, key: str, reasons: str, order: str) -> DataFrame:
-    """Adds ``duplicate_conversation`` to the reasons of every row without reasons whose key an earlier such row has."""
-    w = Window.partitionBy(key, F.size(reasons) == 0).orderBy(order)
-    again = (F.size(reasons) == 0) & (F.row_number().over(w) > 1)
-    return df.withColumn(reasons, F.when(again, F.array(F.lit("duplicate_conversation"))).otherwise(F.col(reasons)))
+    """Adds ``duplicate_conversation`` to the reasons of every row without reasons whose key an earlier such row has.
+
+    ``order`` is unique. The first row of each key is found by aggregation, and rows
+    meet it by their own place, so the copies of one key never come together.
+    """
+    rows = durable(df)
+    first = rows.where(F.size(reasons) == 0).groupBy(key).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
+    again = (F.size(reasons) == 0) & F.col("_first").isNull()
+    return rows.join(first, order, "left").withColumn(reasons, F.when(again, F.array(F.lit("duplicate_conversation"))).otherwise(F.col(reasons))).drop("_first")

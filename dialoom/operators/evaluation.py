@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
+from dialoom.operators.prefix import in_parts, ordered_offsets, over_parts
 
 
 def rubric_score(points: Column, met: Column) -> Column:
@@ -190,11 +191,21 @@ def _overlap_f1(a: Counter, b: Counter) -> float:
 
 
 def running_record(df: DataFrame, by: list[str], order: list, value: str, best: str = "max") -> DataFrame:
-    """Rows that beat every earlier row of their group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = (F.max if best == "max" else F.min)(value).over(w)
+    """Rows that beat every earlier row of their group; a group of any size is looked at in parts."""
+    combine, extreme = (F.max, F.greatest) if best == "max" else (F.min, F.least)
+    rows = over_parts(in_parts(df, by, order), by, order, value, combine)
+    prev = extreme("_inside", "_before")
     better = F.col(value) > prev if best == "max" else F.col(value) < prev
-    return df.withColumn("_new", prev.isNull() | better).where(F.col("_new") & F.col(value).isNotNull()).drop("_new")
+    return rows.where((prev.isNull() | better) & F.col(value).isNotNull()).drop("_part", "_inside", "_before")
+
+
+def mid_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by, value, c, rank, all``: each distinct value of a group with its number of rows, its rank from 1 (the mean of its rows' places) and the rows of the group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    places = ordered_offsets(counts, by, [F.col(value)], "c").withColumn("rank", F.col("offset") + (F.col("c") + 1) / 2).drop("offset")
+    if not by:
+        return places.withColumn("all", F.lit(counts.agg(F.sum("c")).first()[0]).cast("long"))
+    return places.join(counts.groupBy(*by).agg(F.sum("c").alias("all")), by)
 
 
 def worst_weights(n: int, k: int) -> list[float]:

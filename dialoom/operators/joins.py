@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.session import durable
+
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join in which a hot key of ``big`` is spread over ``salts`` tasks; the rows of ``small`` are copied that often."""
@@ -23,14 +25,18 @@ def completeness(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return e.join(f, key, "full").withColumn("state", state).where("state is not null").select(key, "state")
 
 
-def positional(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of two frames joined by their place; an error if the lengths differ."""
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``_i``, the place of each row from 0; places are counted per part, so nothing is brought together."""
+    rows = durable(df.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    return rows.join(parts.select("_part", before.alias("_before")), "_part").withColumn("_i", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
 
-    def numbered(df: DataFrame, prefix: str) -> DataFrame:
-        rows = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-        fields = ", ".join(f"`{prefix}{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.sparkSession.createDataFrame(rows, f"_i long, {fields}")
 
+def positional(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two frames joined by their place; an error if the lengths differ."""
     if a.count() != b.count():
         raise ValueError("the frames differ in length")
-    return numbered(a, "").join(numbered(b, "right_"), "_i").drop("_i")
+    right = numbered(b)
+    return numbered(a).join(right.select("_i", *[F.col(c).alias(f"right_{c}") for c in b.columns]), "_i").drop("_i")

@@ -65,9 +65,8 @@ def _density(s, d):
 
 def _correlation(s, d):
     e = table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    w = lambda c: Window.partitionBy("l_returnflag", c)
-    rank = lambda c: F.rank().over(Window.partitionBy("l_returnflag").orderBy(c)) + (F.count(F.lit(1)).over(w(c)) - 1) / 2.0
-    r = e.withColumn("rq", rank("l_quantity")).withColumn("rp", rank("l_extendedprice"))
+    rank = lambda c, name: E.mid_ranks(e, ["l_returnflag"], c).select("l_returnflag", c, F.col("rank").alias(name))
+    r = e.join(rank("l_quantity", "rq"), ["l_returnflag", "l_quantity"]).join(rank("l_extendedprice", "rp"), ["l_returnflag", "l_extendedprice"])
     return r.groupBy("l_returnflag").agg(
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.round(F.corr("rq", "rp"), 6).alias("spearman"),
         F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"),
@@ -178,12 +177,6 @@ def _lines(s, d):
     return r.where(F.trim("line") != "").select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5("line").alias("line_md5"))
 
 
-def _outer_lines(s, d):
-    """The first and the last three of them, which the SQL names."""
-    size = _docs(s, d).select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return size.where((F.trim("line") != "") & ((F.col("i") < 3) | (F.col("n") - F.col("i") <= 3))).select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5("line").alias("line_md5"))
-
-
 def _sources_union(s, d):
     """Texts of three tables under one schema, tagged by origin."""
     a = table(s, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
@@ -212,7 +205,7 @@ def queries():
     return {
         "metric_aggregates": _metrics, "metric_long": _long, "metric_wide": _wide, "metric_error_view": _error_view, "category_drilldown": _drill, "quantile_table": _quantiles, "distinct_signals": _distinct, "has_any": _has_any, "density_histogram": _density,
         "correlations": _correlation, "mean_cost": _cost, "frontier": _frontier, "family_rank": _family_rank, "grade_rates": _grades, "category_accuracy": _category, "best_reference": _best_reference, "concentration": _concentration, "cluster_stats": _cluster_stats,
-        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_profile": _profile, "numbered_lines": _outer_lines, "numbered_lines_all": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
+        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_profile": _profile, "numbered_lines": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
     }
 
 
@@ -242,7 +235,7 @@ def oracle_sql():
         "cluster_stats": "with e as (select label, count(*) as n from embeddings group by 1) select label, n, round(n / sum(n) over (), 9) as ratio from e",
         "nearest_to_centroid": "with l as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from embeddings), c as (select label, i, avg(x) as m from l group by all), d as (select l.label, vec_id, sqrt(sum((x - m) * (x - m))) as distance from l join c using (label, i) group by all) select label, rank::int as rank, vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by label order by distance, vec_id) as rank from d) where rank <= 3",
         "text_profile": f"with t as (select doc_id, {S.collapse('text')} as t, {S.clean('text')} as c from documents where text is not null) select doc_id, round({S.top_char_share('t')}, 9) as top_char, {S.punctuation('t')} as punctuation, {S.paragraphs('t')} as paragraphs, md5(c) as clean_md5 from t",
-        "numbered_lines": "with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line, len(string_split(text, chr(10))) as n from documents where text is not null) select doc_id, line_no::int as line_no, md5(line) as line_md5 from l where (line_no <= 3 or n - line_no < 3) and trim(line, ' ') <> ''",
+        "numbered_lines": "with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null) select doc_id, line_no::int as line_no, md5(line) as line_md5 from l where trim(line, ' ') <> ''",
         "tagged_union": "with u as (select 'documents' as origin, text from documents union all select 'pairs', question from preference_pairs union all select 'candidates', question from candidates) select origin, count(*) as n, count(text) as texts, sum(length(text))::bigint as chars from u group by origin",
         "set_equality": "with a as (select distinct sample_id from preference_pairs), b as (select distinct sample_id from pair_audits) select 'pairs only' as side, count(*) as n from (select * from a except select * from b) union all select 'audits only', count(*) from (select * from b except select * from a) union all select 'both', count(*) from (select * from a intersect select * from b)",
         "number_sets": f"select pair_id, len(list_intersect({dig('question')}, {dig('response_chosen')}))::int as shared, len(list_distinct(list_concat({dig('question')}, {dig('response_chosen')})))::int as either from preference_pairs",

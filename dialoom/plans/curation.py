@@ -25,14 +25,13 @@ def _rows(s, d) -> DataFrame:
 
 
 def _reasoned(s, d) -> DataFrame:
-    r = _rows(s, d).withColumn("hash", C.digest(F.col("conv"))).withColumn("reasons", C.rule_reasons(F.col("conv")))
+    q, a = C.last_values(F.col("conv"))
+    r = _rows(s, d).select("record_id", "source", C.digest(F.col("conv")).alias("hash"), q.alias("q"), a.alias("a"), C.rule_reasons(F.col("conv")).alias("reasons"))
     return dedup.mark_duplicates(r, "hash", "reasons", "record_id")
 
 
 def _features(s, d) -> DataFrame:
     r = _reasoned(s, d).where(F.size("reasons") == 0)
-    q, a = C.last_values(F.col("conv"))
-    r = r.select("record_id", "source", "hash", q.alias("q"), a.alias("a"))
     return r.select("record_id", "source", "hash", *[c.alias(k) for k, c in C.quality_features(F.col("q"), F.col("a")).items()])
 
 

@@ -86,39 +86,29 @@ _PLACE = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "length"
 _REPL = "repl as (select 'm' || (l_suppkey % 5) as model, l_orderkey % 200 as example, l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_quantity, round(l_discount * 10 - 0.1, 6) as score, l_quantity as length from lineitem)"
 
 
-def _placed(s, d, first):
-    """Replicates with their place ``i`` in the example: all of them, or the ``first`` that the SQL of a query names."""
-    r = _replicates(s, d).withColumn("i", F.row_number().over(Window.partitionBy("model", "example").orderBy(*_PLACE)))
-    return r.where(F.col("i") <= first) if first else r
-
-
-def _worst(first=None):
+def _worst(s, d):
     """Worst of k for k up to 5."""
-    return lambda s, d: E.worst_at_k(_placed(s, d, first), ["model"], "example", "score", 5).select("model", "k", F.round(E.clip(F.col("value")), 9).alias("value"))
+    return E.worst_at_k(_replicates(s, d), ["model"], "example", "score", 5).select("model", "k", F.round(E.clip(F.col("value")), 9).alias("value"))
 
 
-def _variability(first=None):
-    def run(s, d):
-        r = _placed(s, d, first).groupBy("model", "i").agg(E.clip(F.avg("score")).alias("m"))
-        return r.groupBy("model").agg(*[F.round(f("m"), 9).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("std", F.stddev_pop))])
-
-    return run
-
+def _variability(s, d):
+    """Runs are the replicates of one place in their example."""
+    r = _replicates(s, d).withColumn("i", F.row_number().over(Window.partitionBy("model", "example").orderBy(*_PLACE)))
+    r = r.groupBy("model", "i").agg(E.clip(F.avg("score")).alias("m"))
+    return r.groupBy("model").agg(*[F.round(f("m"), 9).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("std", F.stddev_pop))])
 
-def _wins(controlled, first=None):
-    return lambda s, d: E.win_rates(_placed(s, d, first) if first else _replicates(s, d), "model", "example", "score", "length" if controlled else None).withColumn("value", F.round("value", 9))
 
+def _wins(controlled):
+    return lambda s, d: E.win_rates(_replicates(s, d), "model", "example", "score", "length" if controlled else None).withColumn("value", F.round("value", 9))
 
-def _win_matrix(first=None):
-    return lambda s, d: _wins(False, first)(s, d).groupBy("model").pivot("other", [f"m{i}" for i in range(5)]).agg(F.first("value"))
 
+def _win_matrix(s, d):
+    return _wins(False)(s, d).groupBy("model").pivot("other", [f"m{i}" for i in range(5)]).agg(F.first("value"))
 
-def _win_delta(first=None):
-    def run(s, d):
-        a, b = _wins(False, first)(s, d), _wins(True, first)(s, d).withColumnRenamed("value", "controlled")
-        return a.join(b, ["model", "other"]).select("model", "other", F.round((F.col("value") - F.col("controlled")) / F.nullif(F.col("value") - 0.5, F.lit(0.0)), 6).alias("delta"))
 
-    return run
+def _win_delta(s, d):
+    a, b = _wins(False)(s, d), _wins(True)(s, d).withColumnRenamed("value", "controlled")
+    return a.join(b, ["model", "other"]).select("model", "other", F.round((F.col("value") - F.col("controlled")) / F.nullif(F.col("value") - 0.5, F.lit(0.0)), 6).alias("delta"))
 
 
 def _pass_at_k(s, d):
@@ -187,9 +177,7 @@ def _weighted(s, d):
 def _percentile(s, d):
     """Mid-rank percentile of each user's mean among all users."""
     m = table(s, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("mean"))
-    g = m.where("mean is not null").groupBy("mean").agg(F.count(F.lit(1)).alias("c"))
-    g = g.withColumn("below", F.coalesce(F.sum("c").over(Window.orderBy("mean").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("c").over(Window.partitionBy()))
-    return m.join(g, "mean").select("user_id", F.round((F.col("below") + F.col("c") / 2) / F.col("all") * 100, 6).alias("percentile"))
+    return m.join(E.mid_ranks(m, [], "mean"), "mean").select("user_id", F.round((F.col("rank") - 0.5) / F.col("all") * 100, 6).alias("percentile"))
 
 
 def queries():
@@ -197,17 +185,16 @@ def queries():
         "rubric_scores": lambda s, d: _scores(s, d).select("example", F.round("score", 9).alias("score")), "rubric_axis": lambda s, d: _axis(s, d).withColumn("score", F.round("score", 9)), "rubric_benchmark": _benchmark, "rubric_manifest": _manifest, "rubric_consensus": _consensus,
         "rubric_missing": _missing, "rubric_cache_tiers": _cached, "sample_themes": _theme_sample, "sample_uniform": _uniform_sample,
         "agreement_clusters": _agreement, "agreement_overall": _agreement_all, "agreement_f1": _agreement_f1, "agreement_raters": _agreement_rater, "agreement_weighted": _weighted, "rater_summary": _rater_summary,
-        "worst_at_k": _worst(8), "run_variability": _variability(8), "win_rates": _wins(False, 8), "win_rates_length": _wins(True, 8), "win_matrix": _win_matrix(8), "win_delta": _win_delta(8),  # the eight of their SQL
-        "worst_at_k_all": _worst(), "run_variability_all": _variability(), "win_rates_all": _wins(False), "win_rates_length_all": _wins(True), "win_matrix_all": _win_matrix(), "win_delta_all": _win_delta(),
+        "worst_at_k": _worst, "run_variability": _variability, "win_rates": _wins(False), "win_rates_length": _wins(True), "win_matrix": _win_matrix, "win_delta": _win_delta,
         "pass_at_k": _pass_at_k, "bootstrap_std": _bootstrap, "reference_stats": _reference_stats, "rank_percentiles": _percentile,
     }
 
 
 def oracle_sql():
-    it, la, rp = f"with {_ITEMS} ", f"with {_LABELS} ", f"with {_REPL}, first8 as (select * from (select *, row_number() over (partition by model, example order by l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_quantity, score) as i from repl) where i <= 8) "
+    it, la, rp = f"with {_ITEMS} ", f"with {_LABELS} ", f"with {_REPL}, placed as (select *, row_number() over (partition by model, example order by l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_quantity, score) as i from repl) "
     clip = "greatest(0.0, least(1.0, {}))"
     pr = "pr as (select event_type, 'precision' as metric, own as positive, count(*) as n, avg((own = other)::int) as value from pairs group by all union all select event_type, 'recall', other, count(*), avg((own = other)::int) from pairs group by all)"
-    win = lambda c: f"m as (select a.example, a.model, b.model as other, (a.score > b.score)::int as w from first8 a join first8 b on a.example = b.example and a.model <> b.model and a.score <> b.score {c}), p as (select example, model, other, avg(w) as v from m group by all), w{len(c) > 0:d} as (select model, other, round(avg(v), 9) as value from p group by all)"
+    win = lambda c: f"m as (select a.example, a.model, b.model as other, (a.score > b.score)::int as w from placed a join placed b on a.example = b.example and a.model <> b.model and a.score <> b.score {c}), p as (select example, model, other, avg(w) as v from m group by all), w{len(c) > 0:d} as (select model, other, round(avg(v), 9) as value from p group by all)"
     ctl = "and (a.length + b.length) > 0 and abs(a.length - b.length) <= 0.1 * (a.length + b.length) / 2"
     return {
         "rubric_scores": it + f"select example, round({_SCORE}, 9) as score from items group by example",
@@ -225,8 +212,8 @@ def oracle_sql():
         "agreement_raters": la + "select user_id, 'precision' as metric, own as positive, count(*) as n, round(avg((own = other)::int), 9) as value from pairs group by user_id, own union all select user_id, 'recall', other, count(*), round(avg((own = other)::int), 9) from pairs group by user_id, other",
         "agreement_weighted": la + ", r as (select user_id, 'precision' as metric, own as positive, count(*) as n, avg((own = other)::int) as value from pairs group by user_id, own union all select user_id, 'recall', other, count(*), avg((own = other)::int) from pairs group by user_id, other) select metric, round(sum(value * n) / sum(n), 9) as value, count(*) as raters from r where n > 50 group by metric",
         "rater_summary": la + "select event_type, count(*) as labels, count(distinct user_id) as raters, round(avg(label::int), 9) as share_positive from labels group by event_type",
-        "worst_at_k": rp + f", r as (select *, row_number() over (partition by model, example order by score) as j, count(*) over (partition by model, example) as n from first8), f as (select model, example, k.k, n, j, score from r, range(1, 6) k(k) where k.k <= n), v as (select model, example, k, sum(score * case when n - j >= k - 1 then (factorial((n - j)::int)::double / (factorial((k - 1)::int) * factorial((n - j - k + 1)::int))) / (factorial(n::int)::double / (factorial(k::int) * factorial((n - k)::int))) else 0 end) as v from f group by all) select model, k::int as k, round({clip.format('avg(v)')}, 9) as value from v group by model, k",
-        "run_variability": rp + f", m as (select model, i, {clip.format('avg(score)')} as m from first8 group by model, i) select model, round(avg(m), 9) as mean, round(min(m), 9) as least, round(max(m), 9) as most, round(stddev_pop(m), 9) as std from m group by model",
+        "worst_at_k": rp + f", r as (select *, row_number() over (partition by model, example order by score) as j, count(*) over (partition by model, example) as n from placed), f as (select model, example, k.k, n, j, score from r, range(1, 6) k(k) where k.k <= n), v as (select model, example, k, sum(score * coalesce(list_product(list_transform(range(k - 1), lambda t: (n - j - t)::double)), 1.0) * k / list_product(list_transform(range(k), lambda t: (n - t)::double))) as v from f group by all) select model, k::int as k, round({clip.format('avg(v)')}, 9) as value from v group by model, k",
+        "run_variability": rp + f", m as (select model, i, {clip.format('avg(score)')} as m from placed group by model, i) select model, round(avg(m), 9) as mean, round(min(m), 9) as least, round(max(m), 9) as most, round(stddev_pop(m), 9) as std from m group by model",
         "win_rates": rp + ", " + win("") + " select model, other, value from w0",
         "win_rates_length": rp + ", " + win(ctl) + " select model, other, value from w1",
         "win_matrix": rp + ", " + win("") + " select model, " + ", ".join(f"max(value) filter (other = 'm{i}') as m{i}" for i in range(5)) + " from w0 group by model",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from dialoom.functions import markers as M
 from dialoom.functions import rewards, slices
 from dialoom.functions import text as T
-from dialoom.operators import dedup, quotas
+from dialoom.operators import dedup, joins, quotas
 from dialoom.plans import sqltext as S
-from dialoom.session import table
+from dialoom.session import durable, table
 
 MSGS = "array<struct<role:string,content:string>>"
 # Which target tag asks for which slice.
@@ -104,9 +104,9 @@ def _sanitised(s, d):
 
 
 def _positional(s, d):
-    """Pairs and audits joined by place: both numbered by their own identifiers, equal numbers meet."""
-    number = lambda t, c: table(s, d, t).rdd.map(lambda r: r[c]).sortBy(lambda x: x).zipWithIndex().toDF(f"{c} long, i long")
-    return number("preference_pairs", "pair_id").join(number("pair_audits", "audit_id"), "i").select("pair_id", "audit_id")
+    """Pairs and their made identifiers, both in the order of pairs, joined by place; an error if one is longer."""
+    rows = table(s, d, "preference_pairs").orderBy("pair_id").select("pair_id")
+    return joins.positional(rows, _sample_ids(s, d).orderBy("pair_id")).select("pair_id", F.col("right_made_id").alias("made_id"))
 
 
 def _sample_ids(s, d):
@@ -213,10 +213,36 @@ def _bag_sql(x):
     return f"(case when length({t}) = 0 then [] when length({t}) = 1 then [{t}] else list_transform(range(1, length({t})), lambda i: substr({t}, i::bigint, 2)) end)"
 
 
+#: Wanted rows per slice, and the share of them that each dataset should give.
+_WANTED = {"communication": 900, "global_health": 700, "hedging": 600, "context_seeking": 450, "emergency": 350}
+_SOURCES = {"communication": (0.4, 0.6), "global_health": (0.2, 0.8), "hedging": (0.7, 0.3), "context_seeking": (0.55, 0.45), "emergency": (0.6, 0.4)}
+
+
+def _selectable(s, d) -> DataFrame:
+    """The best candidate of each source hash (its identifier where there is none), with what the selection orders by."""
+    c = _slice_rows(s, d)
+    rows = c.select(
+        F.coalesce(F.nullif(F.lower("source_hash"), F.lit("")), F.concat(F.lit("id "), F.col("cand_id").cast("string"))).alias("hash"), "cand_id", "source_dataset", "tags", "priority", F.create_map(*[x for k in M.SLICES for x in (F.lit(k), F.col(k))]).alias("scores"),
+        (F.col("source_dataset") == "hq_holdout").cast("int").alias("fresh"),
+    )
+    return dedup.first_wins(rows, ["hash"], [F.desc("priority"), F.col("cand_id")])
+
+
+def _select(c: DataFrame, total: int, taken: DataFrame | None = None) -> DataFrame:
+    first, second = "hq_holdout", "dpo_v2_train"
+    ratios = {k: {first: b, second: a} for k, (a, b) in _SOURCES.items()}
+    order = lambda k: [F.desc(F.col("scores")[k]), F.desc("priority"), F.desc_nulls_last("fresh"), F.col("cand_id")]
+    rest = [F.desc("priority"), F.desc(F.size("tags")), F.col("cand_id")]
+    return quotas.greedy_slices(c, "hash", "tags", quotas.scaled(_WANTED, total), order, source="source_dataset", ratios=ratios, scores="scores", rest=rest, taken=taken)
+
+
 def _selection(s, d):
-    c = _slice_rows(s, d).select("cand_id", "tags", "priority")
-    wanted = quotas.scaled({"communication": 900, "global_health": 700, "hedging": 600, "context_seeking": 450, "emergency": 350}, 300)
-    return quotas.greedy_slices(c, "cand_id", "tags", wanted, [F.desc("priority"), F.col("cand_id")])
+    """A training and a validation selection over one pool, without a common source hash."""
+    c = durable(_selectable(s, d))
+    train = durable(_select(c, 300))
+    valid = _select(c, 30, train)
+    both = train.withColumn("split", F.lit("train")).unionByName(valid.withColumn("split", F.lit("valid")))
+    return both.join(c.select("hash", "cand_id"), "hash").select("cand_id", "slice", "split")
 
 
 def _selection_summary(s, d):
@@ -257,7 +283,7 @@ def oracle_sql():
         "pairs_audit_summary": "select count(*) as n, count(*) filter (swap_pair) as swapped, count(*) filter (label_correct = false) as wrong, round(avg(swap_pair::int), 9) as swap_ratio from pair_audits",
         "pairs_tag_counts": "with t as (select 'issue' as kind, unnest(issue_tags) as tag from pair_audits union all select 'target', unnest(target_tags) from pair_audits union all select 'strength', rewrite_strength from pair_audits) select kind, lower(trim(tag)) as tag, count(*) as n from t where trim(tag) <> '' group by all",
         "pairs_sanitised": f"with t as (select *, coalesce(nullif({S.strip('response_chosen')}, ''), response_rejected) as c, coalesce(nullif({S.strip('response_rejected')}, ''), response_chosen) as r from preference_pairs) select pair_id, md5(coalesce(c, '')) as chosen, md5(coalesce(case when c = r then response_rejected else r end, '')) as rejected from t",
-        "pairs_positional_join": "select pair_id, audit_id from (select pair_id, row_number() over (order by pair_id) as i from preference_pairs) join (select audit_id, row_number() over (order by audit_id) as i from pair_audits) using (i)",
+        "pairs_positional_join": "select a.pair_id, made_id from (select pair_id, row_number() over (order by pair_id) as i from preference_pairs) a join (select coalesce(split, 'none') || '_' || lpad(pair_id::varchar, greatest(5, length(pair_id::varchar))::int, '0') || '_' || substr(md5(coalesce(question, '')), 1, 10) as made_id, row_number() over (order by pair_id) as i from preference_pairs) b using (i)",
         "pairs_sample_ids": "select pair_id, coalesce(split, 'none') || '_' || lpad(pair_id::varchar, greatest(5, length(pair_id::varchar))::int, '0') || '_' || substr(md5(coalesce(question, '')), 1, 10) as made_id from preference_pairs",
         "slice_scores": c + f"select cand_id, {', '.join(M.SLICES)} from c4",
         "slice_tags": c + "select cand_id, array_to_string(tags, ',') as tags, risk, priority from c4",

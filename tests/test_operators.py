@@ -131,6 +131,92 @@ def test_running_record(spark):
     assert [r["i"] for r in evaluation.running_record(df, [], [F.col("i")], "v").collect()] == [0, 1, 5]
 
 
+def grouped(rng, n=400):
+    return [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, float(rng.randrange(30)), rng.random()])) for i in range(n)]
+
+
+@pytest.mark.parametrize("best", ["max", "min"])
+def test_running_record_in_parts(spark, best):
+    rows = grouped(random.Random(3))
+    got = {r["i"] for r in evaluation.running_record(spark.createDataFrame(rows, "i int, g string, v double").repartition(7), ["g"], [F.col("i")], "v", best).collect()}
+    want, seen = set(), {}
+    for i, g, v in rows:
+        if v is not None and (g not in seen or (v > seen[g] if best == "max" else v < seen[g])):
+            seen[g] = v
+            want.add(i)
+    assert got == want
+
+
+def test_mid_ranks(spark):
+    rows = [r for r in grouped(random.Random(4)) if r[1]]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(5)
+    for by in ([], ["g"]):
+        for r in evaluation.mid_ranks(df, by, "v").collect():
+            own = [v for _, g, v in rows if v is not None and (not by or g == r["g"])]
+            assert r["rank"] == sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2 and r["all"] == len(own)
+
+
+def test_first_rows_of_a_quota(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("aab"), rng.random()) for i in range(300)]
+    got = {r["i"] for r in quotas.by_quota(spark.createDataFrame(rows, "i int, g string, v double"), "g", {"a": 40, "b": 7, "none": 3}, [F.desc("v"), F.col("i")]).collect()}
+    best = lambda g, n: {r[0] for r in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:n]}
+    assert got == best("a", 40) | best("b", 7)
+
+
+def test_repeats_are_marked_but_the_first(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "hot", f"k{i % 9}", None]), rng.choice([[], [], ["bad"]])) for i in range(200)]
+    rng.shuffle(rows)
+    got = {r["i"]: r["reasons"] for r in dedup.mark_duplicates(spark.createDataFrame(rows, "i int, k string, reasons array<string>"), "k", "reasons", "i").collect()}
+    first = {}
+    for i, k, reasons in sorted(rows, key=lambda r: r[0]):
+        want = reasons or ([] if first.setdefault(k, i) == i else ["duplicate_conversation"])
+        assert got[i] == want
+
+
+def test_split_and_scaled_quotas():
+    assert quotas.split(10, {"b": 0.25, "a": 0.75}) == {"a": 8, "b": 2} and quotas.split(5, {"a": 0.5, "b": 0.5}) == {"a": 3, "b": 2}
+    assert quotas.split(3, {"a": 0.5, "b": 0.5}) == {"a": 1, "b": 2} and quotas.split(0, {}) == {}
+    assert quotas.scaled({"a": 3, "b": 1}, 0) == {"a": 0, "b": 0} and quotas.scaled({"a": 900, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 1}
+
+
+def chosen_one_by_one(rows, quota, ratios, taken):
+    """The greedy selection over Python lists: rows are (key, slices, source, score)."""
+    used, out = set(taken), []
+    free = [r for r in rows if r[0] not in used]
+    count = lambda k: sum(s == k for _, s in out)
+    for k in sorted(quota, key=lambda k: (sum(k in r[1] for r in free) / max(quota[k], 1), k)):
+        order = sorted((r for r in free if k in r[1]), key=lambda r: (-r[3], r[0]))
+        for source, n in quotas.split(quota[k], ratios[k]).items():
+            for r in [r for r in order if r[2] == source and r[0] not in used][:n]:
+                used.add(r[0])
+                out.append((r[0], k))
+        for r in [r for r in order if r[0] not in used][: quota[k] - count(k)]:
+            used.add(r[0])
+            out.append((r[0], k))
+    for r in sorted((r for r in free if r[0] not in used), key=lambda r: (-r[3], r[0]))[: sum(quota.values()) - len(out)]:
+        under = [s for s in r[1] if count(s) < quota.get(s, 0)]
+        out.append((r[0], max(under, key=lambda s: quota[s] - count(s)) if under else r[1][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_selection_by_hand(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, sorted({rng.choice("abc"), rng.choice("abcd")}), rng.choice("xxy"), round(rng.random(), 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, s array<string>, src string, v double")
+    ratios = {k: {"x": 0.3, "y": 0.7} for k in "abc"}
+    order = [F.desc("v"), F.col("id")]
+    pick = lambda quota, taken=None: quotas.greedy_slices(df, "id", "s", quota, order, source="src", ratios=ratios, rest=order, taken=taken)
+    for quota in ({"a": 20, "b": 10, "c": 12}, {"a": 2, "b": 3, "c": 70}):
+        first = pick(quota)
+        assert sorted(map(tuple, first.collect())) == (want := chosen_one_by_one(rows, quota, ratios, set()))
+        again = pick({"a": 3, "b": 3, "c": 3}, first)
+        assert sorted(map(tuple, again.collect())) == chosen_one_by_one(rows, {"a": 3, "b": 3, "c": 3}, ratios, {k for k, _ in want})
+    assert quotas.greedy_slices(df.limit(0), "id", "s", {"a": 2}, order, rest=order).count() == 0
+
+
 def test_joins(spark):
     big = spark.createDataFrame([("hot", i) for i in range(50)] + [("x", 50)], "k string, v int")
     small = spark.createDataFrame([("hot", 1), ("y", 2)], "k string, w int")

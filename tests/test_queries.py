@@ -18,7 +18,7 @@ def test_against_sql(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).columns
+    assert QUERIES[name](spark, small).collect()
 
 
 def test_quota_sample_is_proportional(spark, small):
@@ -26,9 +26,10 @@ def test_quota_sample_is_proportional(spark, small):
     assert len({r["record_id"] for r in rows}) == len(rows) > 0
 
 
-def test_greedy_selection_takes_no_row_twice(spark, small):
+def test_selections_meet_their_quotas_apart(spark, small):
     rows = QUERIES["slice_selection"](spark, small).collect()
     assert len({r["cand_id"] for r in rows}) == len(rows)
+    assert Counter(r["split"] for r in rows)["train"] <= 300 and {r["split"] for r in rows} <= {"train", "valid"}
 
 
 def test_entry_and_contract(spark):
@@ -38,14 +39,6 @@ def test_entry_and_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["worst_at_k", "run_variability", "win_rates", "win_rates_length", "win_matrix", "win_delta"])
-def test_all_replicates_count(spark, small, duck, name):
-    """The registered SQL without its cap of eight."""
-    cap = " where i <= 8"
-    assert cap in SQL[name]
-    same(QUERIES[f"{name}_all"](spark, small), duck, SQL[name].replace(cap, ""))
-
-
 def test_best_reference_takes_whole_texts(spark, small):
     got = {r["cand_id"]: r["best"] for r in QUERIES["best_reference"](spark, small).collect()}
     rows = spark.read.parquet(f"{small}/candidates.parquet").where("cand_id is not null and reference_answer is not null").collect()
@@ -60,13 +53,6 @@ def test_best_reference_takes_whole_texts(spark, small):
         assert got[r["cand_id"]] == pytest.approx(max(2 * (q & x).total() / (q.total() + x.total()) if q and x else 0.0 for x in refs), abs=1e-9)
 
 
-def test_every_line_is_numbered(spark, small, duck):
-    """The registered SQL without its cap to the first and last three lines."""
-    cap = "(line_no <= 3 or n - line_no < 3) and "
-    assert cap in SQL["numbered_lines"]
-    same(QUERIES["numbered_lines_all"](spark, small), duck, SQL["numbered_lines"].replace(cap, ""))
-
-
 def test_slugs_of_whole_texts(spark, small):
     got = {r["doc_id"]: r["slug_md5"] for r in QUERIES["answer_extraction"](spark, small).collect()}
     rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 80").collect()
