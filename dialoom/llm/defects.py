@@ -325,17 +325,15 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _count_contexts(bits: int, shared) -> object:
+def _count_contexts(wanted: tuple | None):
     """Occurrences of the wanted contexts in all answers and how many of them end a sentence."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 for column in (0, 1):
                     context, ends, _ = contexts(part.column(column).to_pylist())
-                    place = context & np.uint64(bits - 1)
-                    use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    use = neardup.passes(context, wanted)
                     yield pa.RecordBatch.from_arrays([pa.array(context[use].view(np.int64)), pa.array(ends[use])], names=["tail", "ends"])
 
     return count
@@ -391,17 +389,17 @@ def _openings(seen: DataFrame, evidence: DataFrame, *, bands: int = 12, rows: in
 def refusals(seen: DataFrame) -> DataFrame:
     """``row`` of the answers that decline and give no advice."""
     rows = seen.where("size(clauses) > 0")
-    clauses = rows.select("row", "question", F.explode(F.array_distinct("clauses")).alias("clause"))
+    clauses = rows.select("row", "question", F.explode("clauses").alias("clause"))
     declined = rows.where("declined").select("row")
     sure = _clause_counts(clauses, declined).where("refuses").select("clause")
     linked = clauses.join(sure, "clause").groupBy("row").agg(F.count(F.lit(1)).alias("r"))
-    linked = linked.join(rows.select("row", F.size(F.array_distinct("clauses")).alias("size")), "row").where("3 * r >= size").select("row")
+    linked = linked.join(rows.select("row", F.size("clauses").alias("size")), "row").where("3 * r >= size").select("row")
     evidence = durable(declined.unionByName(linked).distinct())
     known = durable(_clause_counts(clauses, evidence))
     templates = _openings(rows, evidence).withColumn("template", F.lit(1))
     told = clauses.join(known, "clause").groupBy("row").agg(F.count_if("refuses").alias("r"), F.count_if(~F.col("refuses")).alias("o"))
     judged = rows.join(templates, "opening", "left").join(told, "row", "left").where("declined or template is not null or r > 0")
-    r, o, t, size = (F.coalesce(c, F.lit(0)) for c in (F.col("r"), F.col("o"), F.col("template"), F.size(F.array_distinct("clauses"))))
+    r, o, t, size = (F.coalesce(c, F.lit(0)) for c in (F.col("r"), F.col("o"), F.col("template"), F.size("clauses")))
     says = F.greatest(r, F.lit(1))  # the wording that declines is at least one clause of it
     opened = F.col("opens") & (o + F.col("advice") <= says)
     return judged.where(F.when(F.col("declined"), opened | (2 * says >= size)).otherwise(2 * F.greatest(r, t) >= size)).select("row")
@@ -417,9 +415,8 @@ def found(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("pair_id", "question", "response_chosen", "response_rejected")
     seen = durable(rows.mapInArrow(_inspect, _SEEN))
     asked = seen.where("defect is null and tail is not null")
-    bits, table = neardup._filter(asked, "tail")
-    shared = pairs.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
-    contexts_ = pairs.select("response_chosen", "response_rejected").mapInArrow(_count_contexts(bits, shared), "tail bigint, ends boolean").groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("ends"))
+    wanted = neardup.shared_filter(pairs.sparkSession, neardup._filter(asked, "tail"))
+    contexts_ = pairs.select("response_chosen", "response_rejected").mapInArrow(_count_contexts(wanted), "tail bigint, ends boolean").groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("ends"))
     own = asked.groupBy("tail").agg(F.count(F.lit(1)).alias("own"))
     # a context counts as an end where it ends a sentence elsewhere, the undecided answers left out
     ends = contexts_.join(own, "tail").withColumn("share", (F.col("ends") - F.col("own")) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))

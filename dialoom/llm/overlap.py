@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.text import name_key
 from dialoom.llm import shingles
-from dialoom.llm.neardup import _filter, shingle_sets
+from dialoom.llm.neardup import REMEMBERED, _filter, passes, shared_filter, shingle_sets, unseen
 from dialoom.session import durable
 
 #: A text of n shingles is cut into at least n // SEGMENT + 1 segments.
@@ -28,8 +28,6 @@ SEGMENT = 12
 LENGTHS = tuple(range(3, SEGMENT))
 #: Evaluation texts whose shingles are counted for the order, and places of the counts.
 COUNTED, BUCKETS = 5000, 1 << 18
-#: Sets that a task remembers in order not to offer a copy again.
-REMEMBERED = 200_000
 #: Minimum hashes of a fingerprint, two bits each.
 FINGERPRINT = 96
 
@@ -78,26 +76,17 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 def _prefixes(similarity: float, common, wanted=None):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, marks = (wanted[0], wanted[1].value) if wanted else (0, None)
         seen: set[int] = set()
         for _, h, sizes in _rows(batches, 0):
             ids = shingles.set_identity(h, sizes)
-            fresh = np.zeros(len(sizes), bool)
-            for i in np.flatnonzero(sizes):
-                if (one := int(ids[i])) not in seen:
-                    fresh[i] = True
-                    seen.add(one)
-            if len(seen) > REMEMBERED:
-                seen.clear()
+            fresh = unseen(ids, seen, REMEMBERED) & (sizes > 0)
             if not fresh.any():
                 continue
             h, sizes, ids = h[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
             words = shingles.fingerprint(shingles.minhashes(h, sizes, FINGERPRINT))
             k, doc = prefix(h, sizes, similarity, common.value)
-            if wanted:
-                place = k & np.uint64(bits - 1)
-                use = ((marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                k, doc = k[use], doc[use]
+            use = passes(k, wanted)
+            k, doc = k[use], doc[use]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, ids[doc], *(words[doc, i] for i in range(3)))], names=["shingle", "set_id", "f0", "f1", "f2"])
 
     return prefixes
@@ -130,9 +119,8 @@ def similar_sets(evaluation: DataFrame, train: DataFrame, *, similarity: float =
     common = train.sparkSession.sparkContext.broadcast(_common(evaluation))
     # copies mostly end in the task that reads them; one shuffle by shingle serves what is left of them and the join
     cut = durable(evaluation.select("text").mapInArrow(_prefixes(similarity, common), _PREFIXES).repartition("shingle").distinct())
-    bits, table = _filter(cut, "shingle")
-    marks = train.sparkSession.sparkContext.broadcast(table)  # at most neardup.FILTER_BITS / 8 bytes
-    offered = train.select("text").mapInArrow(_prefixes(similarity, common, (bits, marks)), _PREFIXES).repartition("shingle").distinct()
+    wanted = shared_filter(train.sparkSession, _filter(cut, "shingle"))
+    offered = train.select("text").mapInArrow(_prefixes(similarity, common, wanted), _PREFIXES).repartition("shingle").distinct()
     far = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(3)), F.lit(0))
     t = offered.select("shingle", F.col("set_id").alias("t"), *(F.col(f"f{i}").alias(f"t{i}") for i in range(3)))
     near = cut.withColumnRenamed("set_id", "e").join(t, "shingle").where(far <= shingles.radius(FINGERPRINT, similarity)).select("e", "t").distinct()
@@ -140,7 +128,7 @@ def similar_sets(evaluation: DataFrame, train: DataFrame, *, similarity: float =
     equal = near.where("e = t")
     near = near.where("e <> t")
     texts = evaluation.select("text").unionAll(train.select("text"))
-    known = shingle_sets(texts, _filter(near.select(F.explode(F.array("e", "t")).alias("s")), "s"))
+    known = shingle_sets(texts, near.select(F.explode(F.array("e", "t")).alias("set_id")))
     both = near.join(known.select(F.col("set_id").alias("e"), F.col("shingles").alias("se")), "e").join(known.select(F.col("set_id").alias("t"), F.col("shingles").alias("st")), "t")
     common = F.size(F.array_intersect("se", "st"))
     return both.where(common >= similarity * (F.size("se") + F.size("st") - common)).select("e", "t").unionByName(equal)

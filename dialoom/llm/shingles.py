@@ -132,8 +132,8 @@ def fingerprint(minimums: np.ndarray, bits: int = 2) -> np.ndarray:
     return np.packbits(np.pad(taken, ((0, 0), (0, width - taken.shape[1]))), axis=1).view(np.uint64)
 
 
-def radius(count: int, similarity: float, bits: int = 2, deviations: float = 4.0) -> int:
-    """The Hamming distance of fingerprints of ``count`` minimum hashes that pairs of this similarity exceed about three times in 10^5."""
+def radius(count: int, similarity: float, bits: int = 2, deviations: float = 5.0) -> int:
+    """The Hamming distance of fingerprints of ``count`` minimum hashes that pairs of this similarity exceed about three times in ten million."""
     d = 1 - similarity
     variance = d * (bits / 4 + bits * bits / 4) - (d * bits / 2) ** 2
     return int(count * d * bits / 2 + deviations * (count * variance) ** 0.5)

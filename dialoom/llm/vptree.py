@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 256
+#: Most points that are compared without a vantage point.
+LEAF = 64
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,14 +22,22 @@ def _to(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).sum(axis=1, dtype=np.int16)
 
 
-def close_pairs(points: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i before j in no special order, of the rows of ``points`` (n x words, uint64) within ``r``; each pair once."""
+def close_pairs(points: np.ndarray, r: int, side: np.ndarray | None = None, tests: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j), i before j in no special order, of the rows of ``points`` (n x words, uint64) within ``r``; each pair once.
+
+    With a ``side`` of 1 or 2 for each point (0: no sides) only pairs across the
+    sides are looked for. ``tests`` gathers the number of distances computed.
+    """
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     work: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(points)), None)]
+    if side is not None and len(side) and side[0]:
+        work = [(np.flatnonzero(side == 1), np.flatnonzero(side == 2))]
     while work:
         a, b = work.pop()
         if b is None:
+            if tests is not None:
+                tests.append(len(a) * (len(a) - 1) // 2 if len(a) <= LEAF else len(a))
             if len(a) <= LEAF:
                 i, j = np.nonzero(np.triu(_dist(points[a], points[a]) <= r, 1))
                 left.append(a[i])
@@ -46,6 +55,8 @@ def close_pairs(points: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
                 continue
             work += [(a[inner], None), (a[~inner], None), (a[inner & (d >= d[~inner].min() - r)], a[~inner & (d <= d[inner].max() + r)])]
         elif len(a) and len(b):
+            if tests is not None:
+                tests.append(len(a) * len(b) if len(a) * len(b) <= LEAF * LEAF else len(a) + len(b))
             if len(a) * len(b) <= LEAF * LEAF:
                 i, j = np.nonzero(_dist(points[a], points[b]) <= r)
                 left.append(a[i])
