@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import analysis, answers, curation, evaluation, preference, runs
+from dialoom.plans import analysis, answers, curation, evaluation, preference, records, runs
 
-_PARTS = (curation, preference, evaluation, analysis, runs, answers)
+_PARTS = (curation, preference, evaluation, analysis, runs, answers, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.operators import dedup
 from dialoom.operators import evaluation as E
 from dialoom.operators import joins
-from dialoom.session import shared_dir, table
+from dialoom.session import new_place, table
 from dialoom.streaming import runs as R
 
 
@@ -56,15 +54,14 @@ def _stream(s, d):
     return R.read_log(s, f"{d}/events.parque[t]", table(s, d, "events").schema, "parquet")
 
 
-def _place(s):
-    return f"{shared_dir(s).rstrip('/')}/table-{uuid.uuid4().hex}"
+_place = new_place
 
 
 def _stream_best(s, d):
     """Best value per type, kept across batches."""
     place = _place(s)
     R.drain(_stream(s, d).select("event_type", "event_id", "value"), R.best_so_far(place, "event_type", "value", "event_id", "max"))
-    return s.read.parquet(place).select("event_type", "event_id", "value")
+    return R.current(s, place).select("event_type", "event_id", "value")
 
 
 def _stream_append(s, d):

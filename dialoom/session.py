@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Folders made here for applications whose session names none.
 _OWN: dict[str, str] = {}
+#: Tables written by this process and not removed yet.
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", settings: dict[str, str] | None = None) -> SparkSession:
@@ -33,34 +38,59 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else one of our own (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own, removed at exit."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        found = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="dialoom-")
-        _OWN[app] = found
+        if app not in _OWN:
+            place = tempfile.mkdtemp(prefix="dialoom-")
+            atexit.register(shutil.rmtree, place, True)
+            _OWN[app] = f"file://{place}"
+        found = _OWN[app]
     return found
 
 
+def new_place(spark: SparkSession) -> str:
+    """The path of a table to be written in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it from there.
 
     It cuts the lineage: what follows never recomputes ``df``, and no executor
-    holds the only copy of a part.
+    holds the only copy of a part. :func:`scratch` removes what was written in it.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_durable(spark: SparkSession) -> None:
-    """Removes the tables that :func:`durable` wrote in this session's shared folder."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root) if fs.exists(root) else []:
-        if status.getPath().getName().startswith("table-"):
-            fs.delete(status.getPath(), True)
+    """Removes all tables that this process wrote with :func:`durable`; frames that read them can be read no more."""
+    _remove(spark, _WRITTEN)
+    _WRITTEN.clear()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes on leaving what :func:`durable` wrote inside: for a query whose result is written or counted within."""
+    kept = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove(spark, _WRITTEN[kept:])
+        del _WRITTEN[kept:]
 
 
 def rows_within(df: DataFrame, limit: int) -> bool:

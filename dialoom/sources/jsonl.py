@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +19,28 @@ def _fs(spark: SparkSession, path: str):
 
 
 def layout(spark: SparkSession, path: str) -> str:
-    """``array`` if the first character that is not blank is ``[``, else ``lines``; reads the head of one file."""
+    """How a file holds its records: ``array``, one ``object`` over several lines, or ``lines``; compressed files by their suffix.
+
+    The first line that is not blank decides, however many blank ones stand before it; an empty file has ``lines``.
+    """
+    jvm = spark.sparkContext._jvm
     p, fs = _fs(spark, path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
     stream = fs.open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
     try:
-        head = bytearray()
-        while len(head) < 4096:
-            b = stream.read()
-            if b < 0:
-                break
-            head.append(b)
-            if not chr(b).isspace() and b not in (0xEF, 0xBB, 0xBF):
-                return "array" if b == ord("[") else "lines"
+        while (line := reader.readLine()) is not None:
+            line = line.strip("\ufeff \t\r\n\x0b\x0c")
+            if line.startswith("["):
+                return "array"
+            if line:
+                try:
+                    json.loads(line)
+                except ValueError:
+                    return "object" if line.startswith("{") else "lines"
+                return "lines"
     finally:
-        stream.close()
+        reader.close()
     return "lines"
 
 
@@ -84,14 +93,8 @@ def read_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Array files, single objects and lines alike: the layout decides."""
-    array = layout(spark, path) == "array"
-    try:
-        df = spark.read.schema(schema).option("multiLine", array).option("mode", "FAILFAST").json(path)
-        df.limit(1).count()
-        return df
-    except Exception:
-        return spark.read.schema(schema).option("multiLine", not array).json(path)
+    """Array files, single objects and lines alike: the layout decides; what does not follow it fails when it is read."""
+    return spark.read.schema(schema).option("multiLine", layout(spark, path) != "lines").option("mode", "FAILFAST").json(path)
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
@@ -119,6 +122,56 @@ def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> D
     return spark.read.schema(schema).csv(path, sep=sep, header=True, multiLine=True, escape='"')
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """CSV with a header; quotes within fields are doubled."""
+    df.write.mode("overwrite").csv(path, sep=sep, header=True, escape='"')
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Rows added to a JSON-lines table."""
+    write_lines(df, path, mode="append")
+
+
+def whole_numbers(df: DataFrame, column: str) -> DataFrame:
+    """``df``, with an error on any target in ``column`` that has a decimal point."""
+    bad = F.col(column).cast("string").contains(".")
+    return df.withColumn(column, F.when(bad, F.raise_error(F.concat(F.lit("not a whole number: "), F.col(column).cast("string")))).otherwise(F.col(column)))
+
+
+def output_name(path: str, kind: str) -> str:
+    """``x.jsonl`` and ``x.json`` become ``x.<kind>.jsonl``; others get ``.<kind>.jsonl`` added."""
+    stem = path.rsplit(".", 1)[0] if path.endswith((".jsonl", ".json")) else path
+    return f"{stem}.{kind}.jsonl"
+
+
+def runs_with(spark: SparkSession, root: str, part: str = "artifacts") -> list[str]:
+    """The folders under ``root`` that have a folder ``part``, by name."""
+    p, fs = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    found = [x.getPath() for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
+    return sorted(x.toString() for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, part)))
+
+
+def copy_files(spark: SparkSession, source: str, target: str, names: list[str]) -> list[str]:
+    """Copies the named files that are there, keeping their places below the folder; returns their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = []
+    for name in names:
+        a, fs = _fs(spark, f"{source}/{name}")
+        b, to = _fs(spark, f"{target}/{name}")
+        if fs.exists(a):
+            to.mkdirs(b.getParent())
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, True, conf)
+            done.append(name)
+    return done
+
+
+def existing(spark: SparkSession, presets: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The presets whose paths all exist."""
+    there = lambda path: (lambda x: x[1].exists(x[0]))(_fs(spark, path))
+    return {k: v for k, v in presets.items() if all(map(there, v))}
+
+
 def append_manifest(df: DataFrame, path: str) -> None:
     """Rows added to a tab-separated manifest."""
     df.write.mode("append").csv(path, sep="\t", header=False)
@@ -139,6 +192,24 @@ def head_and_tail(lines: DataFrame, n: int = 200) -> DataFrame:
     return r.where((F.col("_a") <= n) | (F.col("_b") <= n)).drop("_a", "_b")
 
 
+def shortened(lines: DataFrame, n: int = 200) -> DataFrame:
+    """Files of more than 2 n numbered lines cut to their first and last n, with one line between that says how many are left out."""
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("_n"))
+    gap = sizes.where(F.col("_n") > 2 * n).select("file", F.lit(n + 1).cast("long").alias("line_no"), F.concat(F.lit("... "), (F.col("_n") - 2 * n).cast("string"), F.lit(" lines left out ...")).alias("value"))
+    kept = lines.join(sizes, "file").where((F.col("line_no") <= n) | (F.col("line_no") > F.col("_n") - n)).select("file", F.col("line_no").cast("long").alias("line_no"), "value")
+    return kept.unionByName(gap)
+
+
+def html_table(df: DataFrame, title: str = "", most: int = 1000) -> str:
+    """A small result as an HTML table; an error beyond ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many rows for a report")
+    cell = lambda tag, v: f"<{tag}>{'' if v is None else html.escape(str(v))}</{tag}>"
+    body = ["".join(cell("td", v) for v in r) for r in rows]
+    return (cell("h2", title) if title else "") + "<table>" + "".join(f"<tr>{x}</tr>" for x in ["".join(cell("th", c) for c in df.columns), *body]) + "</table>"
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table; an error beyond ``most`` rows."""
     rows = df.limit(most + 1).collect()

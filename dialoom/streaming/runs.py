@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.functions.records import remaining
 from dialoom.session import durable, shared_dir
 
 
@@ -30,34 +31,55 @@ def windowed(stream: DataFrame, time: str, by: str, value: str, size: str = "1 h
     return stream.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_new(spark: SparkSession, path: str, key: str):
     """A batch step that appends the rows whose key the table does not hold yet: rerunning a batch adds nothing."""
 
     def step(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates([key])
-        try:
-            have = spark.read.parquet(path).select(key)
-        except Exception:
-            have = None
-        new = once if have is None else once.join(have, key, "left_anti")
+        new = batch.dropDuplicates([key])
+        if _exists(spark, path):
+            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
         durable(new).write.mode("append").parquet(path)
 
     return step
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose table is complete, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=") and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete table that :func:`best_so_far` has written."""
+    return spark.read.parquet(f"{path}/batch={_versions(spark, path)[-1]}")
+
+
 def best_so_far(path: str, by: str, value: str, order: str, best: str = "min"):
-    """A batch step that keeps the best row of each group in a table; it starts from what the table holds."""
+    """A batch step that keeps the best row of each group; every batch writes a table of its own beside the last one.
+
+    A batch that is run again after a crash starts from the table before it, so
+    nothing is lost between two tables and nothing counts twice.
+    """
     pick = F.min_by if best == "min" else F.max_by
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.where(F.col(value).isNotNull())
-        try:
-            rows = rows.unionByName(spark.read.parquet(path).select(*rows.columns))
-        except Exception:
-            pass
+        before = [v for v in _versions(spark, path) if v < number]
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/batch={before[-1]}").select(*rows.columns))
         top = rows.groupBy(by).agg(pick(F.struct(*rows.columns), F.struct(value, order) if best == "min" else F.struct(F.col(value), -F.col(order))).alias("r")).select("r.*")
-        durable(top).write.mode("overwrite").parquet(path)
+        top.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in before[:-1]:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     return step
 
@@ -76,3 +98,9 @@ def latest(rows: DataFrame, name: str, logs: str = "logs") -> DataFrame:
 def run_state(flags: DataFrame) -> DataFrame:
     """State of a run by precedence: dry run, failed, completed, partial."""
     return flags.withColumn("state", F.when(F.col("dry_run"), "dryrun").when(F.col("failed"), "failed").when(F.col("finished"), "completed").otherwise("partial"))
+
+
+def progress(done: int, total: int, seconds: float) -> dict:
+    """How far a run is: share, rows a second and the time that is left at that pace."""
+    pace = done / seconds if seconds > 0 else 0.0
+    return {"done": done, "total": total, "share": done / total if total else 1.0, "per_second": pace, "left": remaining((total - done) / pace if pace else 0)}
