@@ -53,24 +53,27 @@ def punctuation(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[，。！？；：,.!?;:]"))
 
 
-def top_char_share(c: Column) -> Column:
-    """Share of the most frequent character that is not blank; 1 for a text without any."""
+def _most_frequent(values: Column) -> Column:
+    """How often the most frequent value of an array that is not empty stands in it: sorted once, its longest run."""
 
-    def share(dense: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(F.split(dense, "")), lambda x: F.when(x != "", F.length(dense) - F.length(F.replace(dense, x, F.lit(""))))))
-        return F.when(dense == "", F.lit(1.0)).otherwise(most / F.length(dense))
+    def longest(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.array_max(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda j: F.get(at, j) - F.get(at, j - 1))))
 
-    return let(F.regexp_replace(c, rf"[{BLANK}]+", ""), share)
+    return let(F.sort_array(values), longest)
 
 
-def top_line_share(c: Column) -> Column:
-    """Share of the most frequent line among the lines that are not blank; 0 with at most one of them."""
+def top_char_share(c: Column) -> Column:
+    """Share of the most frequent character that is not blank; 1 for a text without any."""
+    dense = F.regexp_replace(c, rf"[{BLANK}]+", "")
+    return let(dense, lambda d: F.when(d == "", F.lit(1.0)).otherwise(_most_frequent(F.filter(F.split(d, ""), lambda x: x != "")) / F.length(d)))
 
-    def share(lines: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))
-        return F.when(F.size(lines) <= 1, F.lit(0.0)).otherwise(most / F.size(lines))
 
-    return let(F.filter(F.transform(F.split(c, "\r\n|[\r\n]"), strip), lambda x: x != ""), share)
+def top_line_share(c: Column) -> Column:
+    """Share of the most frequent line among the lines that are not blank; 0 with at most one of them."""
+    lines = F.filter(F.transform(F.split(c, "\r\n|[\r\n]"), strip), lambda x: x != "")
+    return let(lines, lambda x: F.when(F.size(x) <= 1, F.lit(0.0)).otherwise(_most_frequent(x) / F.size(x)))
 
 
 def paragraphs(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
-from dialoom.session import durable
+from dialoom.session import broadcast_within, durable
 
 
 def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
@@ -111,6 +111,10 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Group centres up to this many are broadcast.
+MAX_CENTRES = 10_000
+
+
 def group_centres(df: DataFrame, by: str, column: str) -> DataFrame:
     """The mean vector of each group, one partial sum per group, place and task."""
     long = df.select(by, F.posexplode(column).alias("_i", "_x")).groupBy(by, "_i").agg(F.avg("_x").alias("_m"))
@@ -119,7 +123,7 @@ def group_centres(df: DataFrame, by: str, column: str) -> DataFrame:
 
 def nearest(df: DataFrame, by: str, column: str, order: str, n: int) -> DataFrame:
     """The n rows of each group that lie nearest to the group's mean."""
-    d = df.join(F.broadcast(group_centres(df, by, column)), by).withColumn("distance", l2(F.col(column), F.col("centre")))
+    d = df.join(broadcast_within(durable(group_centres(df, by, column)), MAX_CENTRES), by).withColumn("distance", l2(F.col(column), F.col("centre")))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("distance", order))).where(F.col("rank") <= n).drop("centre")
 
 

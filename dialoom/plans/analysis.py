@@ -9,7 +9,7 @@ from dialoom.functions import text as T
 from dialoom.operators import evaluation as E
 from dialoom.operators import vectors as V
 from dialoom.plans import sqltext as S
-from dialoom.session import durable, table
+from dialoom.session import broadcast_within, durable, table
 
 
 def _metrics(s, d):
@@ -104,7 +104,7 @@ def _grades(s, d):
 def _category(s, d):
     """Accuracy by nation and by region."""
     n, r = table(s, d, "nation"), table(s, d, "region")
-    c = table(s, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    c = table(s, d, "customer").join(broadcast_within(n, 10_000), F.col("c_nationkey") == F.col("n_nationkey")).join(broadcast_within(r, 10_000), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
     return c.rollup("r_name", "n_name").agg(F.round(F.avg((F.col("c_acctbal") > 0).cast("double")), 9).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
@@ -159,16 +159,26 @@ def _docs(s, d):
 
 
 def _answers(s, d):
-    """Extractions from texts: last number, letter answer, code block, object in braces, redaction, slug."""
+    """Extractions from texts: last number, letter answer, code block, object in braces, redaction."""
     t = F.col("text")
-    r = _docs(s, d).select("doc_id", T.last_number(t).alias("number"), T.answer_letter(t).alias("letter"), F.md5(T.redacted(t)).alias("redacted_md5"), F.md5(T.slug(t)).alias("slug_md5"), F.length(T.code_block(t)).alias("code_chars"))
+    r = _docs(s, d).select("doc_id", T.last_number(t).alias("number"), T.answer_letter(t).alias("letter"), F.md5(T.redacted(t)).alias("redacted_md5"), F.length(T.code_block(t)).alias("code_chars"))
     return r
 
 
+_SQL_ANSWERS = r"""
+with t as (select doc_id, text, regexp_extract_all(replace(text, ',', ''), '-?[0-9]+(?:\.[0-9]+)?')[-1] as n,
+ regexp_replace(regexp_replace(regexp_replace(text, '\bwandb_v1_[A-Za-z0-9_]{20,}', '<KEY>', 'g'), '\bhf_[A-Za-z0-9]{20,}', '<TOKEN>', 'g'), '((?:API_KEY|SECRET|TOKEN|PASSWORD)\s*=\s*)\S+', '\1<HIDDEN>', 'g') as red
+ from documents where text is not null)
+select doc_id, case when contains(n, '.') then regexp_replace(regexp_replace(n, '0+$', ''), '\.$', '') else n end as number,
+ coalesce(nullif(regexp_extract(text, '(?i)(?:answer|答案)\s*(?:is|是|:|：)?\s*\(?([A-D])\b', 1), ''), nullif(regexp_extract(text, '\(([A-D])\)', 1), ''), nullif(regexp_extract(text, '^\s*([A-D])\s*[.)）]?\s*$', 1), '')) as letter,
+ md5(red) as redacted_md5, coalesce(nullif(length(regexp_extract(text, '(?s)```python\n(.*?)```', 1)), 0), length(text))::int as code_chars from t
+"""
+
+
 def _profile(s, d):
     """Character shares and line repetition of every document."""
     t = T.collapse(F.col("text"))
-    return _docs(s, d).select("doc_id", F.round(T.top_char_share(t), 9).alias("top_char"), T.punctuation(t).alias("punctuation"), T.paragraphs(t).alias("paragraphs"), F.md5(T.clean(F.col("text"))).alias("clean_md5"))
+    return _docs(s, d).select("doc_id", F.round(T.top_char_share(t), 9).alias("top_char"), T.punctuation(t).alias("punctuation"), T.paragraphs(t).alias("paragraphs"), F.md5(T.clean(F.col("text"))).alias("clean_md5"), F.round(T.top_line_share(F.col("text")), 9).alias("top_line"))
 
 
 def _lines(s, d):
@@ -205,7 +215,7 @@ def queries():
     return {
         "metric_aggregates": _metrics, "metric_long": _long, "metric_wide": _wide, "metric_error_view": _error_view, "category_drilldown": _drill, "quantile_table": _quantiles, "distinct_signals": _distinct, "has_any": _has_any, "density_histogram": _density,
         "correlations": _correlation, "mean_cost": _cost, "frontier": _frontier, "family_rank": _family_rank, "grade_rates": _grades, "category_accuracy": _category, "best_reference": _best_reference, "concentration": _concentration, "cluster_stats": _cluster_stats,
-        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_profile": _profile, "numbered_lines": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
+        "nearest_to_centroid": _centroids, "tfidf_clusters": _tfidf_clusters, "pca_points": _points, "answer_extraction": _answers, "text_slugs": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.slug(F.col("text"))).alias("slug_md5")), "text_profile": _profile, "numbered_lines": _lines, "tagged_union": _sources_union, "set_equality": _set_equality, "number_sets": _number_sets,
     }
 
 
@@ -234,7 +244,8 @@ def oracle_sql():
         "concentration": "with c as (select source, count(*) as n from documents where source is not null group by 1), p as (select *, n / sum(n) over () as p, row_number() over (order by n desc, source) as rank from c) select round(max(p), 9) as largest, round(sum(p) filter (rank <= 5), 9) as top5, round(-sum(p * log2(p + 1e-12)), 6) as entropy, count(*) as groups, max(p) > 0.12 as dominated, sum(p) filter (rank <= 5) > 0.45 as concentrated from p",
         "cluster_stats": "with e as (select label, count(*) as n from embeddings group by 1) select label, n, round(n / sum(n) over (), 9) as ratio from e",
         "nearest_to_centroid": "with l as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from embeddings), c as (select label, i, avg(x) as m from l group by all), d as (select l.label, vec_id, sqrt(sum((x - m) * (x - m))) as distance from l join c using (label, i) group by all) select label, rank::int as rank, vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by label order by distance, vec_id) as rank from d) where rank <= 3",
-        "text_profile": f"with t as (select doc_id, {S.collapse('text')} as t, {S.clean('text')} as c from documents where text is not null) select doc_id, round({S.top_char_share('t')}, 9) as top_char, {S.punctuation('t')} as punctuation, {S.paragraphs('t')} as paragraphs, md5(c) as clean_md5 from t",
+        "text_profile": f"with t as (select doc_id, {S.collapse('text')} as t, {S.clean('text')} as c, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\r\\n]'), lambda x: {S.strip('x')}), lambda x: x <> '') as l from documents where text is not null) select doc_id, round({S.top_char_share('t')}, 9) as top_char, {S.punctuation('t')} as punctuation, {S.paragraphs('t')} as paragraphs, md5(c) as clean_md5, round(case when len(l) <= 1 then 0.0 else list_max(list_transform(list_distinct(l), lambda x: len(list_filter(l, lambda y: y = x)))) / len(l) end, 9) as top_line from t",
+        "answer_extraction": _SQL_ANSWERS,
         "numbered_lines": "with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null) select doc_id, line_no::int as line_no, md5(line) as line_md5 from l where trim(line, ' ') <> ''",
         "tagged_union": "with u as (select 'documents' as origin, text from documents union all select 'pairs', question from preference_pairs union all select 'candidates', question from candidates) select origin, count(*) as n, count(text) as texts, sum(length(text))::bigint as chars from u group by origin",
         "set_equality": "with a as (select distinct sample_id from preference_pairs), b as (select distinct sample_id from pair_audits) select 'pairs only' as side, count(*) as n from (select * from a except select * from b) union all select 'audits only', count(*) from (select * from b except select * from a) union all select 'both', count(*) from (select * from a intersect select * from b)",

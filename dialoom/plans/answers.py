@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import answers as A
 from dialoom.operators import judging
 from dialoom.plans import sqltext as S
-from dialoom.session import table
+from dialoom.session import broadcast_within, table
 
 
 def _choices(s, d):
@@ -31,7 +31,7 @@ def _few_shot(s, d):
     o = table(s, d, "orders")
     w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.concat(F.lit("shot "), F.col("o_orderkey").cast("string"))), "o_orderkey")
     shots = o.withColumn("i", F.row_number().over(w)).where("i <= 3").groupBy("o_orderpriority").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "o_orderkey", "o_orderstatus"))), lambda x: F.concat(F.lit("Q "), x["o_orderkey"].cast("string"), F.lit(" A "), x["o_orderstatus"])), "\n").alias("shots"))
-    return o.where("o_orderstatus = 'P'").join(F.broadcast(shots), "o_orderpriority").select("o_orderkey", F.md5(F.concat("shots", F.lit("\nQ "), F.col("o_orderkey").cast("string"))).alias("prompt_md5"))  # one row a priority
+    return o.where("o_orderstatus = 'P'").join(broadcast_within(shots, 10_000), "o_orderpriority").select("o_orderkey", F.md5(F.concat("shots", F.lit("\nQ "), F.col("o_orderkey").cast("string"))).alias("prompt_md5"))
 
 
 def _completion_ids(s, d):

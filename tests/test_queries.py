@@ -54,7 +54,7 @@ def test_best_reference_takes_whole_texts(spark, small):
 
 
 def test_slugs_of_whole_texts(spark, small):
-    got = {r["doc_id"]: r["slug_md5"] for r in QUERIES["answer_extraction"](spark, small).collect()}
+    got = {r["doc_id"]: r["slug_md5"] for r in QUERIES["text_slugs"](spark, small).collect()}
     rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 80").collect()
     assert rows
     for r in rows:
