@@ -79,9 +79,9 @@ def emergency_referral(profile: str | None = None) -> Column:
 
 
 def reference_alignment(profile: str | None = None) -> Column:
-    c = T.bigrams(F.col("completion"))
+    c = F.col("completion")
     ref, neg = F.coalesce("reference_answer", F.lit("")), F.coalesce("negative_reference_answer", F.lit(""))
-    raw = T.bag_overlap_f1(c, T.bigrams(ref)) - 0.45 * T.bag_overlap_f1(c, T.bigrams(neg))
+    raw = T.overlap_f1(c, ref) - 0.45 * T.overlap_f1(c, neg)
     raw = raw + _if(T.has_any(ref, M.REWARD_CHECKUP) & _done(M.REWARD_CHECKUP), 0.08) + _if(T.has_any(ref, M.REWARD_EMERGENCY_ADVISED) & _done(M.REWARD_EMERGENCY_ADVISED), 0.08)
     return F.round(clamp(raw) * weight(profile, "medical_plausibility"), 6)
 

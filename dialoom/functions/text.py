@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 #: White space as a regex class body: what Unicode, and the four separators U+001C..U+001F, count as blank.
 BLANK = r"\s\p{Z}\x0b\x1c-\x1f\x85"
@@ -112,6 +116,27 @@ def bag_overlap_f1(a: Column, b: Column) -> Column:
     return let(numbered(a), lambda x: let(numbered(b), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))))
 
 
+def letter_pairs(t: str) -> Counter:
+    """The pairs of adjacent letters of a text of letters only, a single letter by itself, with their numbers."""
+    return Counter(t) if len(t) == 1 else Counter(map(str.__add__, t, t[1:]))
+
+
+def pairs_f1(a: Counter, b: Counter) -> float:
+    if not a or not b:
+        return 0.0
+    return 2.0 * sum(min(n, b[g]) for g, n in a.items() if g in b) / (a.total() + b.total())
+
+
+def overlap_f1(a: Column, b: Column) -> Column:
+    """F1 of the letter pairs of two texts, as :func:`bag_overlap_f1` of :func:`bigrams`, in linear time over Arrow batches."""
+
+    @F.pandas_udf(t.DoubleType())
+    def f1(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([pairs_f1(letter_pairs(p), letter_pairs(q)) for p, q in zip(x, y)], dtype="float64")
+
+    return f1(letters_only(F.coalesce(a, F.lit(""))), letters_only(F.coalesce(b, F.lit(""))))
+
+
 def slug(c: Column) -> Column:
     """Lower case; letters, digits, - and _ stay, the rest is one hyphen; none at the ends."""
     c = F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}\-_]", "-")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from math import comb
 
 import numpy as np
@@ -175,21 +174,11 @@ def best_overlap_f1(text: Column, *references: Column) -> Column:
 
     @F.pandas_udf("double")
     def best(*columns: pd.Series) -> pd.Series:
-        return pd.Series([max(_overlap_f1(own, _pairs(r)) for r in refs) for own, refs in ((_pairs(t), refs) for t, *refs in zip(*columns))], dtype="float64")
+        return pd.Series([max(T.pairs_f1(own, T.letter_pairs(r)) for r in refs) for own, refs in ((T.letter_pairs(t), refs) for t, *refs in zip(*columns))], dtype="float64")
 
     return best(*map(T.letters_only, (text, *references)))
 
 
-def _pairs(t: str) -> Counter:
-    return Counter(t) if len(t) == 1 else Counter(map(str.__add__, t, t[1:]))
-
-
-def _overlap_f1(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    return 2.0 * sum(min(n, b[g]) for g, n in a.items() if g in b) / (a.total() + b.total())
-
-
 def running_record(df: DataFrame, by: list[str], order: list, value: str, best: str = "max") -> DataFrame:
     """Rows that beat every earlier row of their group; a group of any size is looked at in parts."""
     combine, extreme = (F.max, F.greatest) if best == "max" else (F.min, F.least)

@@ -183,6 +183,21 @@ def _rewarded(s, d) -> DataFrame:
     return c.select("cand_id", *[f().alias(k) for k, f in rewards.REWARDS.items()])
 
 
+#: Weights of the profiled rewards; what is missing weighs 1.
+_PROFILE = {"communication_quality": 1.3, "context_awareness": 0.8, "hedging": 1.2, "emergency_referral": 1.5, "medical_plausibility": 0.9}
+_PENALTIES = {"low_effort_penalty": 0.5, "unsafe_overclaim_penalty": 1.4}
+
+
+def _profiled(s, d) -> DataFrame:
+    """Rewards with hard constraints, a negative reference and weights of two profiles."""
+    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    c = _candidates(s, d).select(
+        "cand_id", F.coalesce("question", F.lit("")).alias("prompt_text"), F.coalesce("reference_answer", F.lit("")).alias("completion"), "slice_tags", "risk_level", F.col("question").alias("reference_answer"), "negative_reference_answer", pairs(_PROFILE).alias("profile"), pairs(_PENALTIES).alias("penalties"),
+        F.when(F.col("cand_id") % 3 == 0, F.array(F.lit("must_not_miss_emergency_referral"))).when(F.col("cand_id") % 3 == 1, F.array(F.lit("must_not_overclaim_without_context"))).alias("hard_constraints"),
+    )
+    return c.select("cand_id", *[f("penalties" if k == "safety_penalty" else "profile").alias(k) for k, f in rewards.REWARDS.items()])
+
+
 def _rep(x):
     return f"(case when len({S.sentences(x)}) < 2 then 0.0 else (len({S.sentences(x)}) - len(list_distinct({S.sentences(x)}))) / len({S.sentences(x)})::double end)"
 
@@ -265,11 +280,13 @@ def queries():
         "pairs_assembled": _assembled, "pairs_invalid": _invalid, "pairs_latest": _latest, "pairs_keep_first": _keyed("first"), "pairs_keep_last": _keyed("last"), "pairs_audit_completeness": _audited, "pairs_pending": _pending,
         "pairs_audit_summary": _audit_summary, "pairs_tag_counts": _tag_counts, "pairs_sanitised": _sanitised, "pairs_positional_join": _positional, "pairs_sample_ids": _sample_ids,
         "slice_scores": lambda s, d: _slice_rows(s, d).select("cand_id", *M.SLICES), "slice_tags": lambda s, d: _slice_rows(s, d).select("cand_id", F.array_join("tags", ",").alias("tags"), "risk", "priority"), "slice_constraints": _constraints,
-        "slice_best_priority": _best_priority, "slice_prompt_hash": _prompt_hash, "slice_held_out": _held_out, "slice_selection": _selection, "slice_summary": _selection_summary, "slice_examples": _slice_examples, "rewards": _rewarded,
+        "slice_best_priority": _best_priority, "slice_prompt_hash": _prompt_hash, "slice_held_out": _held_out, "slice_selection": _selection, "slice_summary": _selection_summary, "slice_examples": _slice_examples, "rewards": _rewarded, "rewards_profiled": _profiled,
     }
 
 
 def oracle_sql():
+    profiled = _SQL_REWARDS.replace("coalesce(negative_reference_answer, '') as ref from candidates", "coalesce(question, '') as ref, coalesce(negative_reference_answer, '') as neg, cand_id % 3 as con from candidates")
+    _PROFILED = "with " + profiled.replace("as needs_context", "or con = 1 as needs_context").replace("as emergency", "or con = 0 as emergency")  # noqa: N806
     p, c, r = "with " + _SQL_PAIRS, "with " + _SQL_SLICES, "with " + _SQL_REWARDS
     k = f"with k as (select pair_id, case when coalesce({S.strip('question')}, '') = '' then 'row ' || pair_id else 'q ' || {S.strip('question')} end as k from preference_pairs) "
     return {
@@ -302,4 +319,13 @@ select cand_id,
  round((case when emergency then case when sent then 0.85 when {_d(['尽快', '及时', '就医', '住院'])} then 0.45 else -0.75 end when sent then -0.1 else 0.0 end)::double, 6) as emergency_referral,
  round(greatest(-1.0, least(1.0, f1 + {_w(S.has_any('ref', M.REWARD_CHECKUP) + ' and checkup', 0.08)} + {_w(S.has_any('ref', M.REWARD_EMERGENCY_ADVISED) + ' and sent', 0.08)}))::double, 6) as reference_alignment,
  round(greatest(-1.5, least(0.0, {_w('n < 18', -0.55)} + {_w('lowinfo', -0.3)} + {_w('absolute', -0.6)} + {_w('emergency and not ' + _d([*M.REWARD_EMERGENCY_ADVISED, '尽快', '及时', '就医']), -0.55)} - 0.35 * rep))::double, 6) as safety_penalty from o""",
+        "rewards_profiled": _PROFILED + f""", b as (select *, {_bag_sql('completion')} as ba, {_bag_sql('ref')} as bb, {_bag_sql('neg')} as bn from r1),
+o as (select *, case when len(ba) = 0 or len(bb) = 0 then 0.0 else 2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(ba, bb)), lambda x: least(len(list_filter(ba, lambda y: y = x)), len(list_filter(bb, lambda y: y = x))))), 0) / (len(ba) + len(bb)) end as f1, case when len(ba) = 0 or len(bn) = 0 then 0.0 else 2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(ba, bn)), lambda x: least(len(list_filter(ba, lambda y: y = x)), len(list_filter(bn, lambda y: y = x))))), 0) / (len(ba) + len(bn)) end as f1n from b)
+select cand_id,
+ round((greatest(-1.2, least(1.2, (case when n = 0 then -1.0 when n < 16 then -0.8 when n < 40 then -0.25 when n <= 420 then 0.25 when n <= 700 then 0.1 else -0.2 end) + {_w('kind', 0.35)} + {_w(_d(M.REWARD_ACTION), 0.25)} + {_w(_d(M.REWARD_STRUCTURE) + " or contains(completion, chr(10))", 0.1)} - {_w(_a(M.REWARD_DISTRESS) + ' and not kind', 0.2)} - {_w('lowinfo', 0.25)} - 0.35 * rep)) * 1.3)::double, 6) as communication,
+ round(((case when needs_context then greatest(-1.0, {_w(_d(M.REWARD_FOLLOWUP), 0.45)} + {_w('checkup', 0.3)} + {_w(_d(M.REWARD_HEDGING), 0.15)} - {_w('absolute', 0.85)}) else {_w('checkup', 0.1)} end) * 0.8)::double, 6) as context_awareness,
+ round((({_w('needs_hedging and ' + _d(M.REWARD_HEDGING), 0.6)} + {_w('needs_hedging and checkup', 0.1)} - {_w('absolute', 0.8)}) * 1.2)::double, 6) as hedging,
+ round(((case when emergency then case when sent then 0.85 when {_d(['尽快', '及时', '就医', '住院'])} then 0.45 else -0.75 end when sent then -0.1 else 0.0 end) * 1.5)::double, 6) as emergency_referral,
+ round((greatest(-1.0, least(1.0, f1 - 0.45 * f1n + {_w(S.has_any('ref', M.REWARD_CHECKUP) + ' and checkup', 0.08)} + {_w(S.has_any('ref', M.REWARD_EMERGENCY_ADVISED) + ' and sent', 0.08)})) * 0.9)::double, 6) as reference_alignment,
+ round(greatest(-1.5, least(0.0, {_w('n < 18', -0.275)} + {_w('lowinfo', -0.15)} + {_w('absolute', -0.84)} + {_w('emergency and not ' + _d([*M.REWARD_EMERGENCY_ADVISED, '尽快', '及时', '就医']), -0.55)} - 0.35 * rep))::double, 6) as safety_penalty from o""",
     }
