@@ -136,8 +136,9 @@ def _subset_report(s, d):
 
 
 def _turn_pairs(s, d):
-    """Expected speaker against the actual one at every turn."""
-    r = _rows(s, d).select("record_id", F.posexplode("conv").alias("turn", "x"))
+    """Expected speaker against the actual one at every turn; every seventh conversation is read backwards, so that there is something to find."""
+    conv = F.when(F.col("record_id") % 7 == 0, F.reverse("conv")).otherwise(F.col("conv"))
+    r = _rows(s, d).select("record_id", F.posexplode(conv).alias("turn", "x"))
     prev = F.lag("x").over(Window.partitionBy("record_id").orderBy("turn"))
     return r.withColumn("before", prev["from"]).where((F.col("x.from") == F.col("before")) | ((F.col("turn") == 0) & (F.col("x.from") != "human"))).select("record_id", "turn", F.col("x.from").alias("speaker"))
 
@@ -238,7 +239,7 @@ def oracle_sql():
         "curation_high_fill": g + f"select record_id, bucket from given where bucket in ('high_confidence_keep', 'borderline_review') order by bucket <> 'high_confidence_keep', {_BEST} limit {_FILL}",
         "curation_source_rank": g + f"select source, record_id, rank from (select *, row_number() over (partition by source order by {_BEST}) as rank from given) where rank <= 5",
         "curation_subset_report": g + "select source, bucket, count(*) as n, round(sum(quality_score), 9) / count(quality_score) as mean from given group by all",
-        "curation_turn_order": w + ", e as (select record_id, unnest(range(len(conv))) as turn, unnest(conv) as x from rows1), l as (select *, lag(x.\"from\") over (partition by record_id order by turn) as before from e) select record_id, turn::int as turn, x.\"from\" as speaker from l where x.\"from\" = before or (turn = 0 and x.\"from\" <> 'human')",
+        "curation_turn_order": w + ", f as (select record_id, case when record_id % 7 = 0 then list_reverse(conv) else conv end as conv from rows1), e as (select record_id, unnest(range(len(conv))) as turn, unnest(conv) as x from f), l as (select *, lag(x.\"from\") over (partition by record_id order by turn) as before from e) select record_id, turn::int as turn, x.\"from\" as speaker from l where x.\"from\" = before or (turn = 0 and x.\"from\" <> 'human')",
         "curation_strict_outcomes": "with " + _SQL_STRICT + "select outcome, count(*) as n from o group by outcome",
         "curation_payload": w + "select record_id, md5('问题：' || q || chr(10) || '回答：' || a) as payload_md5, len(conv) as turns, length(q) as question_chars, length(a) as answer_chars from rows1 where len(conv) >= 2",
         "curation_examples": g + "select bucket, i, record_id from (select *, row_number() over (partition by bucket order by record_id) as i from given) where i <= 3",

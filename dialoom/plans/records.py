@@ -101,7 +101,7 @@ def _most_common(s, d):
 
 def _lengths(s, d):
     c = table(s, d, "candidates").where("question is not null").select("cand_id", "question")
-    return R.within_length(c, F.col("question"), 60).select("cand_id", "n_tokens")
+    return R.within_length(c, F.col("question"), 120).select("cand_id", "n_tokens")
 
 
 def _models(s, d):
@@ -217,7 +217,7 @@ def oracle_sql():
         "release_dates": "select o_orderkey, case when o_orderkey % 3 = 2 then null else strftime(o_orderdate, '%Y-%m-%d') end as day from orders",
         "replicated_examples": "select o_orderpriority, r::int as replicate, count(*) as n, sum(o_orderkey)::bigint as keys from orders, range(1, 4) t(r) group by all",
         "most_common": "select row_number() over (order by n desc, first)::int as place, source, n from (select source, count(*) as n, min(doc_id) as first from documents where source is not null group by 1)",
-        "prompt_lengths": "with t as (select cand_id, len(regexp_extract_all(question, '\\p{Latin}+|[0-9]|[^ \\t\\n\\x0b\\f\\r]')) as n_tokens from candidates where question is not null) select cand_id, n_tokens::int as n_tokens from t where n_tokens <= 60",
+        "prompt_lengths": "with t as (select cand_id, len(regexp_extract_all(question, '\\p{Latin}+|[0-9]|[^ \\t\\n\\x0b\\f\\r]')) as n_tokens from candidates where question is not null) select cand_id, n_tokens::int as n_tokens from t where n_tokens <= 120",
         "model_filter": "select 'm' || (l_suppkey % 5) as model, count(*) as n from lineitem where l_suppkey % 5 in (1, 3) group by 1",
         "reference_fan_out": "with r as (select cand_id, reference_answer_kind, list_filter([reference_answer, negative_reference_answer], lambda x: x is not null) as x from candidates where reference_answer_kind is not null and reference_answer is not null) select cand_id, reference_answer_kind, (i - 1)::int as i, md5(x[i]) as completion_md5 from (select *, unnest(range(1, len(x) + 1)) as i from r)",
         "choice_letters": "select p_partkey, case when p_partkey % 11 = 0 then null else substr('ABCDABCD', (p_partkey % 8 + 1)::int, 1) end as letter from part",
