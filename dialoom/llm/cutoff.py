@@ -52,17 +52,19 @@ def cutoffs(records: DataFrame, targets: DataFrame) -> DataFrame:
     return found.select(F.col("_source").alias("curation_source"), F.col("n").alias("n_counted"), F.col("k").alias("n_target"), "cutoff", "n_kept").unionByName(none)
 
 
-def kept(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """The kept rows: ``record_id, curation_source, quality_score, quality_bucket`` (source and bucket trimmed and lower-cased)."""
+def _kept(records: DataFrame, targets: DataFrame) -> DataFrame:
     small = rows_within(targets, MAX_TARGETS)
     c = cutoffs(records, targets).where("cutoff is not null").select(F.col("curation_source").alias("_source"), "cutoff")
     rows = _counted(records, _targets(targets).select("_source"), small, name_key(F.col("quality_bucket")).alias("quality_bucket"))
     rows = rows.join(F.broadcast(c) if small else c, "_source").where(F.col("_score") >= F.col("cutoff"))
-    return rows.select("record_id", F.col("_source").alias("curation_source"), F.col("_score").alias("quality_score"), "quality_bucket")
+    return rows.select("record_id", F.col("_source").alias("curation_source"), F.col("_score").alias("quality_score"), "quality_bucket", "cutoff")
+
+
+def kept(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """The kept rows: ``record_id, curation_source, quality_score, quality_bucket`` (source and bucket trimmed and lower-cased)."""
+    return _kept(records, targets).drop("cutoff")
 
 
 def kept_sizes(records: DataFrame, targets: DataFrame) -> DataFrame:
     """Kept records per source and bucket beside the source's cutoff: ``curation_source, quality_bucket, n_kept, cutoff``."""
-    sizes = kept(records, targets).groupBy("curation_source", "quality_bucket").agg(F.count(F.lit(1)).alias("n_kept"))
-    c = cutoffs(records, targets).select("curation_source", "cutoff")
-    return sizes.join(F.broadcast(c) if rows_within(targets, MAX_TARGETS) else c, "curation_source")
+    return _kept(records, targets).groupBy("curation_source", "quality_bucket").agg(F.count(F.lit(1)).alias("n_kept"), F.min("cutoff").alias("cutoff"))

@@ -61,6 +61,8 @@ CLOSINGS = re.compile(r"^(?:take care|all the best|best wishes|kind regards|wish
 MARKS = re.compile(r"\s*(?:^|\n)\s*(?:[-*•·]|[（(]?\d{1,3}\s*[.、)）．:：])\s*$")
 #: A template stands under at least so many different questions, and at least this share of its answers decline.
 LEAST_QUESTIONS, DECLINED_SHARE = 5, 0.5
+#: The shares of the rounds of learning: the first only has the answers whose wording declines, which may be few of all.
+SHARES, LEAST_DECLINING = (0.1, 0.5), 3
 #: Tokens of an opening's shingles, and the similarity of openings of one cluster.
 OPENING_WIDTH, OPENING_SIMILARITY = 5, 0.8
 #: Share of a context's occurrences elsewhere that end a sentence, from which a text that stops there is finished.
@@ -349,30 +351,30 @@ def _recurring(exploded: DataFrame, key: str, refuses: str) -> DataFrame:
     return counted.where((F.col("questions") >= LEAST_QUESTIONS) & (F.col("n") >= LEAST_QUESTIONS)).select(key, "n", "refusing")
 
 
-def _clause_counts(clauses: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``clause, refuses`` of the recurring clauses of the answers in ``evidence`` (``row``)."""
-    marked = clauses.join(evidence.select("row", F.lit(True).alias("evident")), "row", "left").withColumn("evident", F.coalesce("evident", F.lit(False)))
-    wanted = marked.where("evident").select("clause").distinct()
-    found = _recurring(marked.join(wanted, "clause", "left_semi"), "clause", "evident")
-    return found.select("clause", (F.col("refusing") >= DECLINED_SHARE * F.col("n")).alias("refuses"))
+def _clause_counts(rows: DataFrame, share: float) -> DataFrame:
+    """``clause, refuses`` of the recurring clauses of the ``evident`` answers: whether at least ``share`` of its answers, and LEAST_DECLINING, are evident."""
+    clauses = rows.select("question", "evident", F.explode("clauses").alias("clause"))
+    # written first, so that the few clauses are seen to be few and the others are not shuffled
+    wanted = durable(clauses.where("evident").select("clause").distinct())
+    found = _recurring(clauses.join(wanted, "clause", "left_semi"), "clause", "evident")
+    return durable(found.select("clause", ((F.col("refusing") >= share * F.col("n")) & (F.col("refusing") >= LEAST_DECLINING)).alias("refuses")))
 
 
-def _openings(seen: DataFrame, evidence: DataFrame, *, bands: int = 12, rows: int = 3) -> DataFrame:
+def _openings(rows: DataFrame, *, bands: int = 12, run: int = 3) -> DataFrame:
     """``opening`` of the openings whose cluster is a refusal template.
 
-    The openings of answers in ``evidence`` are points; the cluster of one holds
+    The openings of ``evident`` answers are points; the cluster of one holds
     every opening of a similarity of OPENING_SIMILARITY to it. Openings share a
     shard of minimum hashes, and their shingles are compared exactly.
     """
-    marked = seen.where("opening is not null").join(evidence.select("row", F.lit(True).alias("evident")), "row", "left")
-    kinds = marked.groupBy("opening").agg(F.any_value("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"), F.count_if("evident").alias("refusing"), F.bit_or(F.expr("shiftleft(1L, cast(question & 63 as int))")).alias("marks"))
+    kinds = rows.where("opening is not null").groupBy("opening").agg(F.any_value("shingles").alias("shingles"), F.count(F.lit(1)).alias("n"), F.count_if("evident").alias("refusing"), F.bit_or(F.expr("shiftleft(1L, cast(question & 63 as int))")).alias("marks"))
     kinds = durable(kinds)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             h, sizes = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
-            keys = neardup.band_keys(shingles.minhashes(h, sizes, bands * rows), bands, rows)
+            keys = neardup.band_keys(shingles.minhashes(h, sizes, bands * run), bands, run)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(keys.reshape(-1).view(np.int64))], names=["opening", "shard"])
 
     placed = kinds.select("opening", "shingles").mapInArrow(shards, "opening bigint, shard bigint")
@@ -388,17 +390,19 @@ def _openings(seen: DataFrame, evidence: DataFrame, *, bands: int = 12, rows: in
 
 def refusals(seen: DataFrame) -> DataFrame:
     """``row`` of the answers that decline and give no advice."""
-    rows = seen.where("size(clauses) > 0")
-    clauses = rows.select("row", "question", F.explode("clauses").alias("clause"))
-    declined = rows.where("declined").select("row")
-    sure = _clause_counts(clauses, declined).where("refuses").select("clause")
-    linked = clauses.join(sure, "clause").groupBy("row").agg(F.count(F.lit(1)).alias("r"))
-    linked = linked.join(rows.select("row", F.size("clauses").alias("size")), "row").where("3 * r >= size").select("row")
-    evidence = durable(declined.unionByName(linked).distinct())
-    known = durable(_clause_counts(clauses, evidence))
-    templates = _openings(rows, evidence).withColumn("template", F.lit(1))
-    told = clauses.join(known, "clause").groupBy("row").agg(F.count_if("refuses").alias("r"), F.count_if(~F.col("refuses")).alias("o"))
-    judged = rows.join(templates, "opening", "left").join(told, "row", "left").where("declined or template is not null or r > 0")
+    rows = seen.where("size(clauses) > 0").withColumn("evident", F.col("declined"))
+    clauses = rows.select("row", F.explode("clauses").alias("clause"))
+    marked = rows
+    for share in SHARES:
+        sure = _clause_counts(marked, share).where("refuses")
+        linked = clauses.join(sure, "clause").groupBy("row").agg(F.count(F.lit(1)).alias("r")).join(rows.select("row", F.size("clauses").alias("size")), "row").where("2 * r >= size")
+        linked = durable(linked.select("row", F.lit(True).alias("linked")))
+        marked = rows.join(linked, "row", "left").withColumn("evident", F.col("declined") | F.col("linked").isNotNull())
+    known = _clause_counts(marked, DECLINED_SHARE)
+    templates = durable(_openings(marked)).withColumn("template", F.lit(1))
+    told = durable(clauses.join(known, "clause").groupBy("row").agg(F.count_if("refuses").alias("r"), F.count_if(~F.col("refuses")).alias("o")))
+    # rows without an opening have keys of their own, so they don't meet in one task
+    judged = rows.withColumn("opening", F.coalesce("opening", "row")).join(templates, "opening", "left").join(told, "row", "left").where("declined or template is not null or r > 0")
     r, o, t, size = (F.coalesce(c, F.lit(0)) for c in (F.col("r"), F.col("o"), F.col("template"), F.size("clauses")))
     says = F.greatest(r, F.lit(1))  # the wording that declines is at least one clause of it
     opened = F.col("opens") & (o + F.col("advice") <= says)
@@ -421,12 +425,13 @@ def found(pairs: DataFrame) -> DataFrame:
     # a context counts as an end where it ends a sentence elsewhere, the undecided answers left out
     ends = contexts_.join(own, "tail").withColumn("share", (F.col("ends") - F.col("own")) / F.greatest(F.col("n") - F.col("own"), F.lit(1)))
     closing = ends.where(F.col("share") >= ENDS_SHARE).select("tail", F.lit(True).alias("closes"))
-    refused = refusals(seen).distinct().withColumn("refused", F.lit(True))
-    out = seen.join(closing, "tail", "left").join(refused, "row", "left")
+    refused = durable(refusals(seen).distinct()).withColumn("refused", F.lit(True))
+    # answers without a tail have keys of their own, so they don't meet in one task
+    out = seen.withColumn("open", F.col("tail").isNotNull()).withColumn("tail", F.coalesce("tail", "row")).join(closing, "tail", "left").join(refused, "row", "left")
     kind = (
         F.when(F.col("defect").isin("empty", "copy"), F.col("defect"))
         .when(F.col("refused"), "refusal")
         .when(F.col("defect").isNotNull(), F.col("defect"))
-        .when(F.col("tail").isNotNull() & F.col("closes").isNull(), "truncated")
+        .when(F.col("open") & F.col("closes").isNull(), "truncated")
     )
     return out.select("pair_id", "field", kind.alias("defect")).where("defect is not null")

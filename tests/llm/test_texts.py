@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import defects, neardup, overlap, quality, shingles, tokens
 from dialoom.llm.boosting import Boosted
@@ -309,7 +310,7 @@ def test_openings_are_clustered(spark):
         seen.append((i, rng.getrandbits(60) // 64 * 64 + i, [1], int(shingles.set_identity(h, n).view(np.int64)[0]), h.view(np.int64).tolist(), declined))
     seen.append((10, 10, [1], 77, [1, 2, 3, 4], False))
     df = spark.createDataFrame(seen, "row long, question long, clauses array<long>, opening long, shingles array<long>, declined boolean")
-    got = {r["opening"] for r in defects._openings(df, df.where("declined and row > 2").select("row")).collect()}
+    got = {r["opening"] for r in defects._openings(df.withColumn("evident", F.expr("declined and row > 2"))).collect()}
     assert got == {r[3] for r in seen[:10]} and len(got) == 2
 
 
