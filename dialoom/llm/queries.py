@@ -91,7 +91,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
         "p5_found": _P5 + "select distinct least(e, t) as cand_id_a, greatest(e, t) as cand_id_b from (select e, t from sim union all select e, t from hs)",
-        "p5_edit_pairs": lambda s, d: overlap.edits_found(table(s, d, "candidates")),
         "p5_report": _P5 + """select split, source_dataset, count(*) as n_rows, count(*) filter (id in (select e from hs)) as n_same_hash,
 count(*) filter (id in (select e from sim where same)) as n_same_text, count(*) filter (id in (select e from sim)) as n_similar_text,
 count(*) filter (id in (select e from sim) or id in (select e from hs)) as n_overlapping from sp where split <> 'train' group by all""",
