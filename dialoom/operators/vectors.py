@@ -6,13 +6,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
+from pyspark.ml.feature import PCA, CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as T
+from dialoom.operators import ngrams as N
 from dialoom.session import broadcast_within, durable
 
 
@@ -26,31 +27,37 @@ def _grams(t: Column, n: int) -> Column:
     return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams_counted(df: DataFrame, text: str, *, features: int = 12_000, least: int = 2, most: float = 0.95) -> N.Packed:
+    """Counts of the ``features`` most frequent n-grams that ``CountVectorizer`` would take, as packed rows."""
+    return N.counted(df, text, CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=features, minDF=least, maxDF=most))
+
+
 def tfidf(df: DataFrame, text: str, *, features: int = 12_000, least: int = 2, most: float = 0.95) -> DataFrame:
     """``df`` with the unit vector ``tfidf``: 1 + ln(count) times inverse document frequency."""
-    grams = df.withColumn("_grams", char_ngrams(F.col(text)))
-    counted = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=features, minDF=least, maxDF=most).fit(grams).transform(grams)
-    log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())  # arrays would hold every feature of every row
-    logged = durable(counted.drop("_grams")).withColumn("_log", log("_tf"))  # written first: Spark takes no Python function over the lambdas of the n-grams
-    weighted = IDF(inputCol="_log", outputCol="_idf").fit(logged).transform(logged)
-    return Normalizer(inputCol="_idf", outputCol="tfidf").transform(weighted).drop("_tf", "_log", "_idf")
+    packed = ngrams_counted(df, text, features=features, least=least, most=most)
+    place, size, idf = np.cumsum(packed.chosen) - 1, int(packed.chosen.sum()), packed.idf
+
+    def unit(places, counts):
+        i, n = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int32)
+        i, n = i[packed_in[i]], n[packed_in[i]]
+        v = (1 + np.log(n)) * idf[i]
+        return SparseVector(size, place[i], v / (np.linalg.norm(v) or 1))
+
+    packed_in = packed.chosen
+    return packed.rows.withColumn("tfidf", F.udf(unit, VectorUDT())("_places", "_counts")).drop("_places", "_counts")
 
 
 def truncated_svd(df: DataFrame, column: str, k: int, out: str = "reduced", *, rounds: int = 6, seed: int = 42) -> DataFrame:
     """``df`` with the sparse vectors ``column`` on their first min(n - 1, m - 1, k) right singular vectors, at least two; not centred.
 
-    Subspace iteration from a random start with ten spare directions: each round is
+    Block Krylov iteration from a random start with ten spare directions: each round is
     one pass over the written vectors. Only the directions come to the driver.
     """
     df = durable(df)
     rows = df.select(F.unwrap_udt(column).alias("_v")).select("_v.indices", "_v.values", "_v.size")
     n, m = rows.agg(F.count("size"), F.max("size")).first()
-    k = max(2, min(n - 1, m - 1, k))
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, min(m, k + 10))))[0]
-    for _ in range(rounds):
-        q = np.linalg.qr(_gram_times(rows, q))[0]
-    values, turn = np.linalg.eigh(q.T @ _gram_times(rows, q))
-    shared = df.sparkSession.sparkContext.broadcast(q @ turn[:, np.argsort(-values)[:k]])
+    rows = rows.select("indices", "values")
+    shared = df.sparkSession.sparkContext.broadcast(_directions(lambda q: _gram_times(rows, q, _sparse), np.ones(m, bool), n, k, rounds, seed))
 
     @F.pandas_udf("array<double>")
     def onto(indices: pd.Series, values: pd.Series) -> pd.Series:
@@ -59,38 +66,88 @@ def truncated_svd(df: DataFrame, column: str, k: int, out: str = "reduced", *, r
     return df.withColumn("_v", F.unwrap_udt(column)).withColumn(out, array_to_vector(onto("_v.indices", "_v.values"))).drop("_v")
 
 
-def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-    """The product of A'A and q, A being the ``indices, values`` of the rows: parts by task, added up by place."""
+def ngrams_reduced(packed: N.Packed, k: int, out: str = "reduced", *, rounds: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of ``packed`` with their unit TF-IDF vectors as :func:`truncated_svd` reduces them, in single precision."""
+    idf, blocks = packed.idf, packed.rows.select("_places", "_counts")
+    q = _directions(lambda q: _gram_times(blocks, q.astype(np.float32), lambda b: N.weighted(b, idf)), packed.chosen, packed.n, k, rounds, seed)
+    shared = packed.rows.sparkSession.sparkContext.broadcast(q.astype(np.float32))
+
+    @F.pandas_udf("array<float>")
+    def onto(places: pd.Series, counts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["p", "c"])
+        product = N.Product(shared.value)
+        return pd.Series([row for b in N.weighted(batch, idf) for row in product.onto(*b)])
+
+    return packed.rows.withColumn(out, array_to_vector(onto("_places", "_counts"))).drop("_places", "_counts")
+
+
+def _directions(times, used: np.ndarray, n: int, k: int, rounds: int, seed: int) -> np.ndarray:
+    """The first right singular vectors of a matrix of n rows; ``times`` gives the product of its square with a matrix, ``used`` are its columns.
+
+    A block Krylov space: the best directions within the span of the start and of all its images, not of the last one only.
+    """
+    m = int(used.sum())
+    k = max(2, min(n - 1, m - 1, k))
+    found, images = np.zeros((len(used), 0)), np.zeros((len(used), 0))
+    q = np.zeros((len(used), min(m, k + 10)))
+    q[used] = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, q.shape[1])))[0]
+    for _ in range(rounds + 1):
+        found, images = np.hstack([found, q]), np.hstack([images, image := times(q)])
+        scale = np.linalg.norm(image, axis=0).max()
+        for _ in range(2):  # once leaves rounding errors
+            image = image - found @ (found.T @ image)
+        q, size, _ = np.linalg.svd(image, full_matrices=False)
+        q = q[:, size > 1e-6 * scale]  # else nothing but errors of rounding is left in them
+        if not q.shape[1]:
+            break
+    square = found.T @ images
+    values, turn = np.linalg.eigh((square + square.T) / 2)
+    return found @ turn[:, np.argsort(-values)[:k]]
+
+
+def _sparse(batch):
+    """Blocks of the sparse vectors of a batch of ``indices, values``."""
+    at, cat = batch.column(0).offsets.to_numpy(), batch.column(1).offsets.to_numpy()
+    i, v = batch.column(0).values.to_numpy()[at[0] : at[-1]], batch.column(1).values.to_numpy()[cat[0] : cat[-1]]
+    at = at - at[0]
+    for a in range(0, len(at) - 1, N.ROWS):
+        bounds = at[a : a + N.ROWS + 1]
+        yield bounds - bounds[0], i[bounds[0] : bounds[-1]], v[bounds[0] : bounds[-1]]
+
+
+def _gram_times(rows: DataFrame, q: np.ndarray, blocks) -> np.ndarray:
+    """The product of A'A and q, A being the rows that ``blocks`` gives of a batch: a part by task, added up by place where the tasks are many."""
     shared = rows.sparkSession.sparkContext.broadcast(q)
+    shape, kind = q.shape, q.dtype
 
     def parts(batches):
-        q = shared.value
-        g, met = np.zeros(q.shape), np.zeros(len(q), bool)
+        product, g = N.Product(shared.value), np.zeros(shape)
         for batch in batches:
-            at, i, v = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
-            shift = batch.column(1).offsets.to_numpy()
-            for a, b, c in zip(at[:-1], at[1:], shift[:-1]):
-                x, y = i[a:b], v[c : c + b - a]
-                g[x] += np.outer(y, y @ q[x])
-                met[x] = True
-        yield packed(g, met)
+            for block in blocks(batch):
+                product.add(g, *block)
+        yield from packed(g)
 
     def added(batches):
-        g, met = np.zeros(q_shape), np.zeros(q_shape[0], bool)
+        g = np.zeros(shape)
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            np.add.at(g, x, np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, q_shape[1]))
-            met[x] = True
-        yield packed(g, met)
-
-    def packed(g, met):
-        x = np.flatnonzero(met)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array([r.tobytes() for r in g[x]], pa.binary())], names=["place", "part"])
-
-    q_shape = q.shape
-    out = np.zeros(q_shape)
-    for r in rows.select("indices", "values").mapInArrow(parts, "place int, part binary").repartition("place").mapInArrow(added, "place int, part binary").collect():
-        out[r["place"]] = np.frombuffer(r["part"])
+            add(g, zip(*(c.to_pylist() for c in batch.columns)))
+        yield from packed(g)
+
+    def packed(g):
+        for a in range(0, shape[0], N.ROWS):
+            if len(x := a + np.flatnonzero(g[a : a + N.ROWS].any(axis=1))):
+                yield pa.RecordBatch.from_pydict({"place": [a], "places": [x.tobytes()], "part": [g[x].astype(kind).tobytes()]}, pa.schema([("place", pa.int64()), ("places", pa.binary()), ("part", pa.binary())]))
+
+    def add(g, rows):
+        for _, places, part in rows:
+            g[np.frombuffer(places, np.int64)] += np.frombuffer(part, kind).reshape(-1, shape[1])
+
+    names = "place long, places binary, part binary"
+    done = N.few(rows).mapInArrow(parts, names)
+    if N.tasks(rows) > N.FEW_TASKS:
+        done = done.repartition("place").mapInArrow(added, names)
+    out = np.zeros(shape)
+    add(out, done.collect())
     shared.destroy()
     return out
 

@@ -141,7 +141,7 @@ def _centroids(s, d):
 
 def _tfidf_clusters(s, d):
     docs = table(s, d, "documents").where("text is not null and text <> ''").select("doc_id", "text")
-    v = V.truncated_svd(V.tfidf(docs, "text").select("doc_id", "tfidf"), "tfidf", 64)
+    v = V.ngrams_reduced(V.ngrams_counted(docs, "text"), 64)
     return V.clustered(durable(v.select("doc_id", "reduced")), "reduced", 24).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

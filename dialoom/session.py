@@ -59,14 +59,14 @@ def new_place(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it from there.
 
     It cuts the lineage: what follows never recomputes ``df``, and no executor
     holds the only copy of a part. :func:`scratch` removes what was written in it.
     """
     path = new_place(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

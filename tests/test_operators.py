@@ -1,14 +1,17 @@
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from dialoom.operators import cutoffs, dedup, evaluation, joins, prefix, quotas, vectors
+from dialoom.operators import cutoffs, dedup, evaluation, joins, ngrams, prefix, quotas, vectors
 from dialoom.operators.components import connected_components
 from dialoom.plans import analysis
 
@@ -268,6 +271,47 @@ def test_tfidf_clusters_are_the_whole_job(spark, small, monkeypatch):
     assert seen["vocabSize"] == 12_000 and len(rows) == 24 and sum(r["n"] for r in rows) == docs.count()
 
 
+@pytest.mark.parametrize("features, least", [(60, 2), (60, 5), (700, 2), (100_000, 1)])
+def test_tfidf_is_that_of_count_vectorizer(spark, features, least):
+    rng = random.Random(3)
+    words = ["aa", "ab\0", "Fieber", "头疼。", "😀x", "\U00020041b", "ü", "  ", "\u3000", "e", "aaaaaa", "Ｘ\n"]
+    texts = ["".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(60))) + "zq" for _ in range(150)] + ["", "a", "zq" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(5)
+    counts = {r["i"]: Counter(r["t"][a : a + n] for n in (2, 3, 4) for a in range(len(r["t"]) - n + 1)) for r in df.select("i", ngrams.folded(F.col("text")).alias("t")).collect()}
+    texts_with = Counter(g for c in counts.values() for g in c)
+    total = Counter()
+    for c in counts.values():
+        total.update({g: x for g, x in c.items() if least <= texts_with[g] <= 0.95 * len(texts)})
+    packed = vectors.ngrams_counted(df, "text", features=features, least=least)
+    known = {int(c): g for g in texts_with for _, c, _ in ngrams.codes_of(pa.array([g])) for c in c[-1:]}
+    assert len(known) == len(texts_with)
+    place = [known.get(int(c)) for c in packed.codes]
+    vocabulary = [g for g, x in zip(place, packed.chosen) if x]
+    assert sorted(total[g] for g in vocabulary) == sorted(total.values())[-features:]
+    for r in vectors.tfidf(df, "text", features=features, least=least).collect():
+        want = {g: (1 + np.log(counts[r["i"]][g])) * np.log((len(texts) + 1) / (texts_with[g] + 1)) for g in vocabulary if g in counts[r["i"]]}
+        norm = np.linalg.norm(list(want.values())) or 1
+        assert {vocabulary[j]: x for j, x in zip(r["tfidf"].indices, r["tfidf"].values)} == pytest.approx({g: x / norm for g, x in want.items()})
+
+
+def test_reduced_ngrams_span_the_largest_directions(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "".join(rng.choices("abcdef ", k=rng.randrange(90)))) for i in range(400)], "i int, text string")
+    a = np.array([r["tfidf"].toArray() for r in vectors.tfidf(df, "text", features=300).orderBy("i").collect()])
+    size = np.linalg.svd(a, compute_uv=False)
+    got = np.array([r["reduced"].toArray() for r in vectors.ngrams_reduced(vectors.ngrams_counted(df, "text", features=300), 8, rounds=12).orderBy("i").collect()])
+    assert np.linalg.norm(got, axis=0) == pytest.approx(size[:8], rel=1e-3)
+    assert np.abs(got.T @ got - np.diag(size[:8] ** 2)).max() < 1e-3
+
+
+def test_ngrams_of_long_texts_take_linear_time(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "".join(rng.choices("abcdefghijklmnop ", k=300_000))) for i in range(4)], "i int, text string")
+    began = time.time()
+    assert vectors.tfidf(df, "text").where("tfidf is not null").count() == 4
+    assert time.time() - began < 60
+
+
 def test_bootstrap_takes_a_thousand_rounds(spark):
     df = spark.createDataFrame([("m", i, float(i % 2)) for i in range(400)], "m string, _id long, s double")
     std = evaluation.bootstrap_std(df, ["m"], "s").first()["std"]
